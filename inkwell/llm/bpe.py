@@ -2,7 +2,7 @@
 
 A byte pair that occurs inside no vocabulary token can never be merged over, so each place in a text where such a
 pair stands is a certain cut. We cut between a character that is no white space and an ASCII white-space character after
-it, for those white-space characters whose pairs all are impossible (checked against the vocabulary at load). There the
+it, if the two bytes that meet there are such a pair (all pairs inside tokens are noted when the vocabulary is loaded). There the
 tokenizer's own splitting pattern cuts too, whatever stands around, so fragments encode independently and their ids are
 concatenated. A fragment is encoded once in a worker and then looked up: texts repeat their fragments.
 
@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 #: Fragments that a worker remembers.
-CACHED = 400_000
+CACHED = 150_000
+#: Rows that are coded together.
+ROWS = 250
 
 
 def byte_letters() -> dict[str, int]:
@@ -66,11 +68,25 @@ class Fragments:
             self.pairs[y[:-1], y[1:]] = True
         solid = np.ones(256, bool)
         solid[list(ASCII_SPACE.encode())] = False
-        certain = [c for c in ASCII_SPACE if not self.pairs[solid, ord(c)].any()]
-        other = "".join(re.escape(c) for c in ASCII_SPACE if c not in certain) + r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-        self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:[{other}][{SPACE}]*[^{SPACE}]*)*|[{SPACE}]+").findall
+        #: Pairs of another byte and white space that some token holds: no cut between these.
+        self.uncertain = [bytes((x, y)) for y in ASCII_SPACE.encode() for x in np.flatnonzero(self.pairs[:, y] & solid)]
+        wide = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+        self.pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:[{wide}][{SPACE}]*[^{SPACE}]*)*|[{SPACE}]+").findall
         self.known: dict[str, bytes] = {}
 
+    def cut(self, text: str) -> list[str]:
+        parts = self.pieces(text)
+        raw = text.encode() if self.uncertain else b""
+        if any(pair in raw for pair in self.uncertain):
+            joined = parts[:1]
+            for x in parts[1:]:
+                if joined[-1][-1].encode()[-1:] + x[0].encode()[:1] in self.uncertain:
+                    joined[-1] += x
+                else:
+                    joined.append(x)
+            return joined
+        return parts
+
     def encode(self, text: str) -> bytes:
         """The ids as 32-bit little-endian integers."""
         parts, known = self.cut(text), self.known
@@ -95,34 +111,42 @@ def fragments(path: str) -> Fragments:
     return Fragments(path)
 
 
-def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) of each row's whole text: the ids that the tokenizer file gives, without special tokens added."""
-    out = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids array<int>) of each row's whole text: the ids that the tokenizer file gives, without special tokens added.
+
+    decoded: with a third column decoded, what decode() gives for these ids, made in the same task.
+    """
+    out = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = fragments(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 raw = [codec.encode(x or "") for x in part.column(1).to_pylist()]
                 bounds = np.zeros(len(raw) + 1, np.int32)
                 np.cumsum([len(r) // 4 for r in raw], out=bounds[1:])
-                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
+                flat = np.frombuffer(b"".join(raw), "<i4")
+                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, *[_texts(codec, flat, bounds)] * decoded], names=out.names)
 
     return docs.select(key, text).mapInArrow(step, out)
 
 
-def decode(encoded: DataFrame, tokenizer: str, *, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, text) from (key, ids): special tokens stay in, bytes that are no UTF-8 become U+FFFD. Null ids decode to the empty text."""
-    out = T.StructType([encoded.schema[key], *(encoded.schema[k] for k in keep), T.StructField("text", T.StringType())])
+def _texts(codec: Fragments, flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.array([codec.decode(flat[a:b]).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+
+
+def decode(encoded: DataFrame, tokenizer: str, *, key: str = "doc_id") -> DataFrame:
+    """(key, text) from (key, ids): special tokens stay in, bytes that are no UTF-8 become U+FFFD. Null ids decode to the empty text."""
+    out = T.StructType([encoded.schema[key], T.StructField("text", T.StringType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = fragments(tokenizer)
         for batch in batches:
-            ids = batch.column(len(keep) + 1)
-            flat, bounds = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            texts = [codec.decode(flat[a:b]).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep) + 1)), pa.array(texts, pa.string())], names=out.names)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = part.column(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), _texts(codec, ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy())], names=out.names)
 
-    return encoded.select(key, *keep, "ids").mapInArrow(step, out)
+    return encoded.select(key, "ids").mapInArrow(step, out)
