@@ -329,9 +329,9 @@ def test_edit_distance():
         assert near_duplicates.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), most) == min(want, most + 1)
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_near_duplicates(spark, small):
-    rnd = random.Random(small)
+@pytest.mark.parametrize("seed", [32, 2])
+def test_near_duplicates(spark, seed):
+    rnd = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(3000)]
     say = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
     shared, texts = say(60), [None, "", "  ", "one", "one", "two words"]
@@ -360,10 +360,10 @@ def test_near_duplicates(spark, small):
             if words[i] == words[j] or n and min(len(words[i]), len(words[j])) >= 0.8 * n and edits(words[i], words[j]) <= int(0.2 * n + 1e-9):
                 x, y = sorted((root(i), root(j)))
                 group[y] = x
-    got = {r.doc_id: r for r in near_duplicates.classified(docs_of(spark, rows), small=small).collect()}
+    got = {r.doc_id: r for r in near_duplicates.classified(docs_of(spark, rows)).collect()}
     assert [got[i].class_id for i in range(len(texts))] == [root(i) for i in range(len(texts))]
     assert got[0].class_size == 3
-    kept = near_duplicates.representatives(docs_of(spark, rows), small=small)
+    kept = near_duplicates.representatives(docs_of(spark, rows))
     assert kept.columns == DOCS.names and sorted(r.doc_id for r in kept.collect()) == sorted({root(i) for i in range(len(texts))})
     assert near_duplicates.classified(empty(spark)).count() == 0 and near_duplicates.representatives(empty(spark)).count() == 0
 
