@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, char_ngrams, occurrences, present, run_tokens, sentences, snippet
+from ..functions.text import any_of, occurrences, present, run_tokens, sentences, snippet
 from ..packs import Pack
 
 EVIDENCE = "array<struct<chunk_id:string,chapter_title:string,document_path:string,snippet:string,match_count:int>>"
@@ -74,11 +74,11 @@ def repeated_actions(chunks: DataFrame, pack: Pack, least: int = 4) -> DataFrame
 def phrase_counts(chunks: DataFrame, least: int = 5, n: tuple[int, int] = (4, 10), delimiters: str = "[。！？\n]") -> DataFrame:
     """(project_id, phrase, n_chunks) of phrases in at least so many chunks. Counted first by the shortest length: a longer phrase can't be in more chunks than its first letters."""
     units = chunks.select("project_id", "chunk_id", F.explode(sentences("content", delimiters)).alias("s"))
-    short = units.select("project_id", "chunk_id", F.explode(char_ngrams("s", n[0], n[0])).alias("phrase")).distinct().groupBy("project_id", "phrase").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= least)
-    s = F.regexp_replace("s", r"[^\p{IsAlphabetic}\p{N}]+", "")
-    starts = units.select("project_id", "chunk_id", s.alias("s")).select("project_id", "chunk_id", "s", F.explode(F.when(F.length("s") > n[0], F.sequence(F.lit(1), F.length("s") - n[0]))).alias("i"))
+    clean = units.select("project_id", "chunk_id", F.regexp_replace("s", r"[^\p{IsAlphabetic}\p{N}]+", "").alias("s")).where(F.length("s") >= n[0])
+    starts = clean.select("project_id", "chunk_id", "s", F.explode(F.sequence(F.lit(1), F.length("s") - n[0] + 1)).alias("i"))
     starts = starts.select("project_id", "chunk_id", F.expr(f"substring(s, i, {n[0]})").alias("phrase"), F.expr(f"substring(s, i, {n[1]})").alias("long"))
-    live = starts.join(short.select("project_id", "phrase"), ["project_id", "phrase"])
+    short = starts.select("project_id", "chunk_id", "phrase").distinct().groupBy("project_id", "phrase").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= least)
+    live = starts.where(F.length("long") > n[0]).join(short.select("project_id", "phrase"), ["project_id", "phrase"])
     longer = live.select("project_id", "chunk_id", F.explode(F.transform(F.sequence(F.lit(n[0] + 1), F.length("long")), lambda k: F.substring(F.col("long"), F.lit(1), k))).alias("phrase")).distinct()
     return short.unionByName(longer.groupBy("project_id", "phrase").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= least))
 
