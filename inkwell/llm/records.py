@@ -4,7 +4,7 @@ A file part-NNNNN.rec is a run of records:
 
     length of the payload      8 bytes, little endian
     masked crc32 of these      4 bytes
-    payload                    the ids, 4 bytes each, little endian
+    payload                    one byte: 2 or 4, the bytes an id takes; then the ids, little endian
     masked crc32 of these      4 bytes
 
 Its index part-NNNNN.idx has 24 bytes a record: key (signed), offset of the record in the file, number of ids; a shuffled
@@ -56,11 +56,26 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int, key: str
     """Encodes, appends end_id to each document, writes the files; returns (part, file, n_records, n_ids), one row per file."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    # the bounds come from the key column alone; texts are read once and encoded before the shuffle
+    bounds = np.array(rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] or [], np.int64) if n > 1 else np.zeros(0, np.int64)
+    coded = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("payload", T.BinaryType())])
+
     end = np.array([end_id], "<i4").tobytes()
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = fragments(tokenizer)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                keys, h = part.column(0).to_numpy(), part.column(1).to_numpy()
+                ids = [np.frombuffer(codec.encode(x or "") + end, "<i4") for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(parts_of(keys, h, bounds), pa.int32()), part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int32()), pa.array([packed_ids(x) for x in ids], pa.binary())], names=coded.names)
+
+    dealt = rows.mapInArrow(encode, coded).repartitionById(n, F.col("part")).sortWithinPartitions("key", "h").select("key", "n", "payload")
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, task = fragments(tokenizer), TaskContext.get()
+        task = TaskContext.get()
         part, out, index = task.partitionId(), None, []
         at = ids = 0
         name = f"part-{part:05d}"
@@ -70,14 +85,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int, key: str
                 fs.create_dir(root, recursive=True)
                 trial = f"{root}/_{name}-{task.taskAttemptId()}"
                 out = fs.open_output_stream(f"{trial}.rec")
-            keys = batch.column(0).fill_null(NULL_KEY).to_pylist()
-            for i in range(0, batch.num_rows, 500):
-                for k, x in zip(keys[i : i + 500], batch.column(1).slice(i, 500).to_pylist(), strict=True):
-                    payload = codec.encode(x or "") + end
-                    index.append((k, at, len(payload) // 4))
-                    out.write(frame := framed(payload))
-                    at += len(frame)
-                    ids += len(payload) // 4
+            for k, count, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                index.append((k, at, count))
+                out.write(frame := framed(payload.as_py()))
+                at += len(frame)
+                ids += count
         if out is not None:
             out.close()
             with fs.open_output_stream(f"{trial}.idx") as f:
@@ -89,6 +101,22 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int, key: str
     return dealt.mapInArrow(step, SIZES)
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """A payload: ids below 2**16 take two bytes each, others four."""
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or 0 <= ids.min() and ids.max() < 1 << 16 else b"\x04" + ids.astype("<i4").tobytes()
+
+
+def unpacked_ids(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, {2: "<u2", 4: "<i4"}[payload[0]], offset=1).astype("<i4")
+
+
+def parts_of(keys: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The file of each row, ascending by key. A key that fills several files (its bound recurs) is spread over them by its rows' hashes, in order."""
+    low, high = np.searchsorted(bounds, keys, side="left"), np.searchsorted(bounds, keys, side="right")
+    spread = (hashes.astype(np.float64) + 2.0**63) / 2.0**64 * np.maximum(high - low, 1)
+    return low + np.minimum(spread.astype(np.int64), np.maximum(high - low, 1) - 1)
+
+
 def read(spark: SparkSession, sizes: DataFrame) -> DataFrame:
     """(doc_id, start: ids of all records before it, ids binary) of every record, from the files; a broken checksum raises.
 
@@ -109,7 +137,7 @@ def read(spark: SparkSession, sizes: DataFrame) -> DataFrame:
                 with fs.open_input_stream(f"{path}.rec") as f:
                     for i in range(0, len(index), 1000):
                         part = index[i : i + 1000]
-                        payloads = [_record(f) for _ in range(len(part))]
+                        payloads = [unpacked_ids(_record(f)).tobytes() for _ in range(len(part))]
                         first = start + np.cumsum([0, *part[:, 2]])
                         start = int(first[-1])
                         keys = pa.array([None if k == NULL_KEY else k for k in part[:, 0].tolist()], pa.int64())
@@ -138,5 +166,5 @@ def pick(folder_file: str, rows: list[int]) -> list[np.ndarray]:
     with fs.open_input_file(f"{path}.rec") as f:
         for r in rows:
             f.seek(int(index[r, 1]))
-            found.append(np.frombuffer(_record(f), "<i4"))
+            found.append(unpacked_ids(_record(f)))
     return found
