@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 #: Fragments that a worker remembers.
-CACHED = 400_000
+CACHED = 150_000
 #: Rows that are coded together.
 ROWS = 250
 
