@@ -368,6 +368,48 @@ def test_near_duplicates(spark, seed):
     assert near_duplicates.classified(empty(spark)).count() == 0 and near_duplicates.representatives(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"block": 8, "rounds": 0}])
+def test_near_duplicates_in_large_buckets(spark, how):
+    """Texts with one passage in common; some align just so and agree in none of sixteen ordered samples of their words."""
+    passage = [f"p{i}" for i in range(80)]
+    text = lambda pair, own: [w for i in range(8) for w in (pair[i], *own[3 * i : 3 * i + 3])][:30] + passage  # noqa: E731  22 words of its own of 110
+    words = [text([f"s{t}x{i}" for i in range(8)], [f"o{t}x{i}" for i in range(24)]) for t in range(70)]
+    for pair in range(8):
+        kin = [f"k{pair}x{i}" for i in range(8)]
+        tries = [text(kin, [f"o{pair}y{t}x{i}" for i in range(24)]) for t in range(600)]
+        made = np.array([[zlib.crc32(w.encode()) for w in t] for t in tries], np.uint64)
+        mers, of = near_duplicates._labelled(made.ravel(), np.repeat(np.arange(len(tries)), made.shape[1]), len(tries), 1)
+        bands = near_duplicates.order_samples(mers, of, len(tries), 16, 3)
+        words += [tries[t] for t in np.argwhere(~(bands[:, None] == bands).any(2))[0]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    code = {w: i for i, w in enumerate(sorted({w for x in words for w in x}))}
+    coded = [np.array([code[w] for w in x], np.uint64) for x in words]
+    group = list(range(len(words)))
+    for i in range(len(words)):
+        for j in range(i):
+            if near_duplicates.edit_distance(coded[i], coded[j], 22) <= 22:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert sum(g < i for i, g in enumerate(group)) == 8
+    got = {r.doc_id: r.class_id for r in near_duplicates.classified(docs_of(spark, rows), **how).collect()}
+    assert [got[i] for i in range(len(words))] == group
+
+
+def test_no_link_is_ruled_out():
+    rnd = np.random.default_rng(4)
+    texts = [rnd.integers(0, 50 if t % 2 else 5000, rnd.integers(1, 900)).astype(np.uint64) for t in range(20)]
+    for t in texts[:20]:
+        w = t.copy()
+        w[rnd.random(len(w)) < rnd.choice([0.05, 0.15, 0.19, 0.25])] = 7
+        texts.append(w)
+    n = np.array([len(t) for t in texts])
+    slots = [np.minimum(np.bincount((t % np.uint64(near_duplicates.SLOTS)).astype(int), minlength=near_duplicates.SLOTS), 255) for t in texts]
+    a, b = np.triu_indices(len(texts), 1)
+    keep = near_duplicates.may_align(a, b, n, np.array(slots, np.uint8), 0.8)
+    most = (0.2 * np.maximum(n[a], n[b]) + 1e-9).astype(int)
+    links = np.array([near_duplicates.edit_distance(texts[i], texts[j], int(m)) <= m for i, j, m in zip(a, b, most, strict=True)])
+    assert links.sum() > 5 and keep[links].all() and not keep.all()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
