@@ -394,6 +394,16 @@ def test_near_duplicates_in_large_buckets(spark, how):
     assert [got[i] for i in range(len(words))] == group
 
 
+def test_one_agreement_makes_a_candidate(spark):
+    words = np.arange(40, dtype=np.uint64)
+    live = [(b, bytes([x]) * 16, 40, bytes([x]) * 16) for b, nodes in ((1, (1, 2, 3)), (2, (2, 3)), (3, (4,))) for x in nodes]
+    live = spark.createDataFrame(live, "bucket long, node binary, n int, class binary")
+    texts = spark.createDataFrame([(bytes([x]) * 16, (words + (20 if x == 1 else 0) * (words > 34).astype(np.uint64)).tobytes()) for x in (1, 2, 3, 4)], "node binary, w binary")
+    for block in (512, 1):
+        got = sorted((r.a[0], r.b[0]) for r in near_duplicates.candidates(live, texts, block=block).collect())
+        assert got == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_no_link_is_ruled_out():
     rnd = np.random.default_rng(4)
     texts = [rnd.integers(0, 50 if t % 2 else 5000, rnd.integers(1, 900)).astype(np.uint64) for t in range(20)]
