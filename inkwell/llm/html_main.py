@@ -5,7 +5,8 @@ those that recur on a large share of them. main_text() deletes such subtrees, an
 menus, headers, footers, side bars, notices, adverts, forms, scripts, styles or comments; what is left of the page's article
 (or main element, or body) is its text.
 
-The article's own subtrees are no candidates for templates: copies of one article on a host are no template.
+Blocks inside the article are candidates too, but count by distinct article texts, not by pages: copies of one article on a
+host are no template. Headings, cells, list items and inline elements inside the article are none, as they recur in main text.
 
 Rows: null html is empty and gives the empty text; a null url counts as a host of its own. Repeated pages each have their row.
 Broken markup never fails: an end tag without a start is ignored, an element that is left open ends with its parent. Only the
@@ -43,6 +44,8 @@ NOT_MAIN_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "respond", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer",
     "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "related", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary",
 }
+#: Elements inside the article that can be templates.
+INNER = {"address", "aside", "blockquote", "center", "details", "div", "dl", "fieldset", "figure", "footer", "header", "ol", "p", "pre", "section", "table", "ul"}
 #: These are site furniture only outside the article.
 OUTER_WORDS = {"header", "masthead", "topbar", "banner"}
 #: Start tags that end an open element of the same kind.
@@ -167,33 +170,55 @@ def _outer(elements: list[Element]) -> list[Element]:
     return [e for e in elements if not e.holds_main and not _inside(e, lambda x: x.main)]
 
 
+def _inner(elements: list[Element]) -> list[tuple[Element, Element]]:
+    """(subtree inside the article that can be a template, the outermost article or main around it)."""
+    found = []
+    for e in elements:
+        if e.tag in INNER and not e.main:
+            x, around = e.parent, None
+            while x is not None:
+                around, x = x if x.main else around, x.parent
+            if around is not None and not e.holds_main:
+                found.append((e, around))
+    return found
+
+
 def templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hash, n_pages): subtrees on min_pages pages of the host at least, and on this share of its pages."""
-    out = T.StructType([T.StructField("host", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())])
+    """(host, hash, inner, n_pages): subtrees on min_pages pages of the host at least, and on this share of its pages.
+
+    inner: the subtree stands inside the article; then pages with one article text count once.
+    """
+    out = T.StructType([T.StructField("host", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("article", T.LongType()), T.StructField("n", T.LongType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, int | None], int] = {}
+            counts: dict[tuple[str, int | None, int | None], int] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {subtree_hash(page, e) for e in _outer(parsed(page)[0])} if page else set()
-                for h in (None, *found):
-                    counts[host, h] = counts.get((host, h), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=out.names)
-
-    sums = pages.select(host_of().alias("host"), "html").mapInArrow(step, out).groupBy("host", "hash").agg(F.sum("n").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+                elements = parsed(page)[0] if page else []
+                found: set[tuple[int | None, int | None]] = {(subtree_hash(page, e), None) for e in _outer(elements)}
+                of = {id(e): subtree_hash(page, e) for e in elements if e.main}
+                found |= {(subtree_hash(page, e), of[id(x)]) for e, x in _inner(elements)} | {(None, h) for h in of.values()}
+                for h, x in ((None, None), *found):
+                    counts[host, h, x] = counts.get((host, h, x), 0) + 1
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in counts], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))), pa.array(list(counts.values()), pa.int64())], names=out.names)
+
+    seen = pages.select(host_of().alias("host"), "html").mapInArrow(step, out).groupBy("host", "hash", "article").agg(F.sum("n").alias("n"))
+    inner = F.col("article").isNotNull().alias("inner")
+    sums = seen.groupBy("host", "hash", inner).agg(F.sum(F.when(F.col("article").isNull(), F.col("n")).otherwise(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
     sums = sums.persist()
-    of_host = sums.where(F.col("hash").isNull()).select("host", F.col("n_pages").alias("all"))
-    return sums.where(F.col("hash").isNotNull()).join(of_host, "host").where(F.col("n_pages") >= F.col("all") * share).select("host", "hash", "n_pages")
+    of_host = sums.where(F.col("hash").isNull()).select("host", "inner", F.col("n_pages").alias("all"))
+    return sums.where(F.col("hash").isNotNull()).join(of_host, ["host", "inner"]).where(F.col("n_pages") >= F.col("all") * share).select("host", "hash", "inner", "n_pages")
 
 
-def extracted(page: str | None, drop: set[int]) -> str:
-    """The main text of one page; subtrees whose hash is in drop are left out."""
+def extracted(page: str | None, drop: set[tuple[int, bool]]) -> str:
+    """The main text of one page; subtrees whose (hash, whether inside the article) is in drop are left out."""
     if not page:
         return ""
     elements, pieces = parsed(page)
     out = {id(e) for e in elements if e.other}
     if drop:
-        out |= {id(e) for e in _outer(elements) if subtree_hash(page, e) in drop}
+        out |= {id(e) for e in _outer(elements) if (subtree_hash(page, e), False) in drop}
+        out |= {id(e) for e, _ in _inner(elements) if (subtree_hash(page, e), True) in drop}
     mains = any(e.main and e.tag == "article" and not _inside(e, lambda x: id(x) in out) for e in elements)
     some = mains or any(e.main and not _inside(e, lambda x: id(x) in out) for e in elements)
     known: dict[int, bool] = {}
@@ -227,14 +252,14 @@ def main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, share: float = SH
     out = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     some = pages.select("page_id", "url", host_of().alias("host"), "html")
     if found.count() <= broadcast:
-        by_host: dict[str, set[int]] = {}
+        by_host: dict[str, set[tuple[int, bool]]] = {}
         for r in found.collect():
-            by_host.setdefault(r.host, set()).add(r.hash)
+            by_host.setdefault(r.host, set()).add((r.hash, r.inner))
         shared = spark.sparkContext.broadcast(by_host)
         rows, drops = some, lambda batch: [shared.value.get(h, set()) for h in batch.column(2).to_pylist()]
     else:  # the hashes of one host are few: each stands on a large share of its pages
-        rows = some.join(found.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "host", "left").select("page_id", "url", "host", "html", "hashes")
-        drops = lambda batch: [set(x or ()) for x in batch.column(4).to_pylist()]
+        rows = some.join(found.groupBy("host").agg(F.collect_list(F.struct("hash", "inner")).alias("hashes")), "host", "left").select("page_id", "url", "host", "html", "hashes")
+        drops = lambda batch: [{(h["hash"], h["inner"]) for h in x or ()} for x in batch.column(4).to_pylist()]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -233,6 +233,15 @@ def test_html(spark):
         assert got[3] == "Own text 1" and got[9] == "Call us now\n\nOwn text 1" and got[25] == "The same story"
 
 
+def test_html_templates_inside_the_article(spark):
+    # a block that no rule knows goes inside the article too, if articles with different texts have it; headings and copies stay
+    made = [(i, f"http://e.x/{i}", f"<body><article><h2>Facts</h2><p>Story {i}</p><div><p>Join our club</p></div></article></body>") for i in range(12)]
+    made += [(i, f"http://f.x/{i}", "<body><article><p>The same story</p></article></body>") for i in range(20, 30)]
+    for broadcast in (500_000, 0):
+        got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(made, "page_id long, url string, html string"), broadcast=broadcast).collect()}
+        assert got[7] == "Facts\n\nStory 7" and got[25] == "The same story"
+
+
 def cut_by_hand(texts, length):
     raws = [(t or "").encode() for t in texts]
     counts = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
