@@ -31,7 +31,8 @@ MIN_PAGES, SHARE = 5, 0.5
 BROADCAST = 500_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Any attribute; values are consumed whole, so names inside them are none.
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Their content is no markup.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -48,6 +49,8 @@ NOT_MAIN_WORDS = {
 INNER = {"address", "aside", "blockquote", "center", "details", "div", "dl", "fieldset", "figure", "footer", "header", "ol", "p", "pre", "section", "table", "ul"}
 #: These are site furniture only outside the article.
 OUTER_WORDS = {"header", "masthead", "topbar", "banner"}
+#: Inside the article their ids and classes never say that they are no main text.
+TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 #: Start tags that end an open element of the same kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"article", "main", "body", "html", "table", "section", "ul", "ol", "dl", "div", "nav", "aside", "footer", "header", "form"}
@@ -61,16 +64,22 @@ class Element:
 
 
 def _other(tag: str, attrs: str, in_main: bool) -> bool:
-    """Whether tag, role, class or id say that an element is no main text."""
+    """Whether tag, role, class or id say that an element is no main text.
+
+    Outside the article any part of a name counts (site-footer). Inside it only whole names do, ids of sections (made from
+    titles) and names of headings and paragraphs do not; what else recurs there is left to the counts.
+    """
     if tag in NOT_MAIN or tag == "header" and not in_main:
         return True
     if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
         return False
     for name, a, b, c in ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        words = set(re.split(r"[^a-z0-9]+", value))
+        if name not in ("class", "id", "role") or in_main and name != "role" and (tag in TEXT or name == "id" and tag == "section"):
+            continue
+        words = set(value.split() if in_main else re.split(r"[^a-z0-9]+", value))
         if words & NOT_MAIN_WORDS or not in_main and words & OUTER_WORDS:
             return True
     return False

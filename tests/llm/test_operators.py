@@ -242,6 +242,13 @@ def test_html_templates_inside_the_article(spark):
         assert got[7] == "Facts\n\nStory 7" and got[25] == "The same story"
 
 
+def test_html_names_of_attributes(spark):
+    # names inside other attributes' values, and parts of names inside the article, drop no text
+    page = '<article><p><a href="/hidden-lake/" title="hidden gems" data-id="search">Lake</a></p><h2 id="related-work">Work</h2><section id="notice-period">Weeks</section><p class="social-history">Past</p><p hidden>no</p><div class="x share">no</div></article>'
+    got = html_main.main_text(spark.createDataFrame([(1, "http://g.x/1", page)], "page_id long, url string, html string")).first()
+    assert got.text == "Lake\n\nWork\n\nWeeks\n\nPast"
+
+
 def cut_by_hand(texts, length):
     raws = [(t or "").encode() for t in texts]
     counts = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
