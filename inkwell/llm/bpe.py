@@ -1,10 +1,17 @@
 """1. BPE encoding and decoding by forced-boundary splitting.
 
 A byte pair that occurs inside no vocabulary token can never be merged over, so each place in a text where such a
-pair stands is a certain cut. We cut between a character that is no white space and an ASCII white-space character after
-it, if the two bytes that meet there are such a pair (all pairs inside tokens are noted when the vocabulary is loaded). There the
-tokenizer's own splitting pattern cuts too, whatever stands around, so fragments encode independently and their ids are
-concatenated. A fragment is encoded once in a worker and then looked up: texts repeat their fragments.
+pair stands is a certain cut (all pairs inside tokens are noted when the vocabulary is loaded). A text is cut twice:
+
+1. between a character that is no white space and an ASCII white-space character after it, if the two bytes that meet there
+   are such a pair. There the tokenizer's own splitting pattern cuts too, whatever stands around, so fragments encode
+   independently and their ids are concatenated. A fragment is encoded once in a worker and then looked up.
+2. inside a fragment, after the tokenizer's splitting pattern, at every such pair of bytes, also between letters. The runs of
+   bytes that are left are merged side by side in numpy: in each step every run takes its merge of least rank, the leftmost of
+   equal ones, until none has a merge. Fragments with characters other than ASCII and Latin-1's letters (the pattern's Unicode
+   classes and the normaliser are the library's) and those with added tokens are encoded by the tokenizers library.
+
+Memory: a worker remembers at most CACHED fragments and CACHED_BYTES of them, then starts anew; a batch needs its own texts.
 
 Rows: a null text counts as empty and has no ids. Repeated rows each give their row. An empty table gives an empty
 result. Only the named columns are read, so other columns can have any name.
@@ -26,8 +33,11 @@ from pyspark.sql import types as T
 #: White space of Unicode, as the splitting patterns' \s has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_SPACE = "\t\n\x0b\x0c\r "
-#: Fragments that a worker remembers.
-CACHED = 150_000
+#: Fragments that a worker remembers, and their bytes with their ids'.
+CACHED, CACHED_BYTES = 200_000, 16 << 20
+#: The splitting pattern of byte-level tokenizers, which their files leave out.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+NONE = np.int64(1 << 62)
 #: Rows that are coded together.
 ROWS = 250
 
@@ -39,6 +49,94 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Merges:
+    """A vocabulary's merges: looked up by pairs of ids in a table with open addresses."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, end: str):
+        split = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        self.width = max(vocab.values()) + 1
+        pairs = np.array([vocab[a] * self.width + vocab[b] for a, b in split], np.int64)
+        made = np.array([vocab[a + (b.removesuffix(end) if end and a.endswith(end) else b)] for a, b in split], np.int64)
+        self.mask = (1 << max(4, (4 * len(pairs)).bit_length())) - 1
+        self.keys, self.at = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int64)
+        for i, (key, slot) in enumerate(zip(pairs.tolist(), self._slots(pairs).tolist(), strict=True)):
+            while self.keys[slot] not in (-1, key):
+                slot = slot + 1 & self.mask
+            if self.keys[slot] == -1:
+                self.keys[slot], self.at[slot] = key, i
+        self.made = made
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, NONE where there is none."""
+        keys = left * self.width + right
+        slots = self._slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.at[slots], NONE)
+        more = np.flatnonzero((found != keys) & (found >= 0))
+        while len(more):
+            slots[more] = slots[more] + 1 & self.mask
+            found = self.keys[slots[more]]
+            hit = found == keys[more]
+            out[more[hit]] = self.at[slots[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
+
+    def merged(self, ids: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of runs (run: the number of each id's run, ascending) after all merges inside runs, and their runs."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            rank = np.full(len(ids), NONE)
+            if len(ids) > 1:
+                inside = np.flatnonzero(run[1:] == run[:-1])
+                rank[inside] = self.ranks(ids[inside], ids[inside + 1])
+            starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+            size = np.diff(np.r_[starts, len(ids)])
+            least = np.minimum.reduceat(rank, starts)
+            live = np.repeat(least != NONE, size)
+            if not live.all():
+                done.append((ids[~live], run[~live]))
+            if not live.any():
+                break
+            at = np.flatnonzero(live & (rank == np.repeat(least, size)))
+            at = at[np.r_[True, run[at[1:]] != run[at[:-1]]]]
+            ids[at] = self.made[rank[at]]
+            live[at + 1] = False
+            ids, run = ids[live], run[live]
+        if not done:
+            return ids, run
+        ids, run = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(run, kind="stable")
+        return ids[order], run[order]
+
+
+#: Letters beyond ASCII that are letters in every version of Unicode, have no other composed form and one lower-case letter.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PLAIN = re.compile(rf"[\x00-\x7f{LATIN}]*").fullmatch
+
+
+def plain_pattern(spec: dict) -> tuple[re.Pattern, bool] | None:
+    """(the splitting pattern for PLAIN texts, whether they are put in lower case) of a tokenizer file; None if it isn't known."""
+    pre, normal = spec["pre_tokenizer"] or {}, spec["normalizer"]
+    if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not normal:
+        said, low = BYTE_LEVEL, False
+    elif pre.get("type") == "Sequence" and [x["type"] for x in pre["pretokenizers"]] == ["Split", "ByteLevel"]:
+        split, level = pre["pretokenizers"]
+        if not split["invert"] or split["behavior"] != "Removed" or level["use_regex"] or level["add_prefix_space"]:
+            return None
+        steps = [x["type"] for x in (normal or {}).get("normalizers", [])]
+        if steps != ["NFC", "Replace", "Lowercase"]:
+            return None
+        said, low = split["pattern"]["Regex"], True
+    else:
+        return None
+    for name, chars in ((r"[\p{L}]", rf"[A-Za-z{LATIN}]"), (r"[\p{N}]", "[0-9]"), (r"[^\s\p{L}\p{N}]", rf"[^\t-\r A-Za-z0-9{LATIN}]"), (r"\p{L}", rf"[A-Za-z{LATIN}]"), (r"\p{N}", "[0-9]"), (r"\S", r"[^\t-\r ]"), (r"\s", r"[\t-\r ]")):
+        said = said.replace(name, chars)
+    return re.compile(said), low
+
+
 class Fragments:
     """A tokenizer file that encodes texts fragment by fragment."""
 
@@ -61,6 +159,7 @@ class Fragments:
             self.token_bytes[i] = raw
             x = np.frombuffer(raw, np.uint8)
             self.pairs[x[:-1], x[1:]] = True
+        inside = self.pairs.copy()
         for x in spec["added_tokens"]:
             raw = x["content"].encode()
             self.token_bytes[x["id"]] = raw
@@ -73,6 +172,17 @@ class Fragments:
         wide = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:[{wide}][{SPACE}]*[^{SPACE}]*)*|[{SPACE}]+").findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
+        letters = {b: c for c, b in of.items()}
+        plain = [letters[b] for b in range(256)]
+        pattern = plain_pattern(spec)
+        self.split = self.low = None
+        if pattern and spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges") and all(c in vocab and c + end in vocab for c in plain):
+            self.split, self.low = pattern[0].findall, pattern[1]
+            self.inside, self.merges = inside, Merges(vocab, spec["model"]["merges"], end)
+            self.first = np.array([vocab[c] for c in plain], np.int64)
+            self.last = np.array([vocab[c + end] for c in plain], np.int64)
+        self.added = [x["content"] for x in spec["added_tokens"]]
 
     def cut(self, text: str) -> list[str]:
         parts = self.pieces(text)
@@ -87,18 +197,58 @@ class Fragments:
             return joined
         return parts
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit little-endian integers."""
+        cuts, known = [self.cut(t) for t in texts], self.known
+        if len(known) > CACHED or self.held > CACHED_BYTES:
+            known.clear()
+            self.held = 0
+        self._learn([p for p in set().union(*cuts) if p not in known])
+        return [b"".join([known[p] for p in parts]) for parts in cuts]
+
     def encode(self, text: str) -> bytes:
-        """The ids as 32-bit little-endian integers."""
-        parts, known = self.cut(text), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > CACHED:
-                known.clear()
-            fresh = [p for p in set(parts) if p not in known]
-            for p, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<i4").tobytes()
-            return b"".join([known[p] for p in parts])
+        return self.encode_all([text])[0]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Fragments that aren't known yet become known."""
+        joined = "\n".join(fresh)
+        self.held += 4 * len(joined)  # an id takes four bytes and there is about one in two characters
+        if self.split is None:
+            own, other = [], fresh
+        elif PLAIN(joined) and not any(x in joined for x in self.added):
+            own, other = fresh, []
+        else:
+            own = [p for p in fresh if PLAIN(p) and not any(x in p for x in self.added)]
+            other = list(set(fresh).difference(own))
+        for p, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<i4").tobytes()
+        if own:
+            split = self.split
+            parts = [split(p.lower()) for p in own] if self.low else [split(p) for p in own]
+            flat = [x for p in parts for x in p]
+            ids, counts = self.coded(flat)
+            raw = ids.astype("<i4").tobytes()
+            ends = np.cumsum(np.r_[0, counts])[np.cumsum([0, *map(len, parts)])] * 4
+            for p, a, b in zip(own, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                self.known[p] = raw[a:b]
+
+    def coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids of each piece): PLAIN pieces of the splitting pattern, cut at every certain pair and merged."""
+        data = np.frombuffer("".join(pieces).encode(), np.uint8)
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(pieces), np.int64)
+        chars = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+        ends = chars[np.cumsum([len(p) for p in pieces])]
+        ids = self.first[data]
+        ids[ends - 1] = self.last[data[ends - 1]]
+        starts = np.zeros(len(data), bool)
+        starts[0] = True
+        starts[1:] = ~self.inside[data[:-1], data[1:]]
+        starts[ends[:-1]] = True
+        run = np.cumsum(starts) - 1
+        ids, of = self.merges.merged(ids, run)
+        piece = np.searchsorted(ends, np.flatnonzero(starts), side="right")[of]
+        return ids, np.bincount(piece, minlength=len(pieces))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' bytes, joined."""
@@ -123,7 +273,7 @@ def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                raw = [codec.encode(x or "") for x in part.column(1).to_pylist()]
+                raw = codec.encode_all([x or "" for x in part.column(1).to_pylist()])
                 bounds = np.zeros(len(raw) + 1, np.int32)
                 np.cumsum([len(r) // 4 for r in raw], out=bounds[1:])
                 flat = np.frombuffer(b"".join(raw), "<i4")

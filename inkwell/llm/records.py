@@ -69,7 +69,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int, key: str
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 keys, h = part.column(0).to_numpy(), part.column(1).to_numpy()
-                ids = [np.frombuffer(codec.encode(x or "") + end, "<i4") for x in part.column(2).to_pylist()]
+                ids = [np.frombuffer(x + end, "<i4") for x in codec.encode_all([x or "" for x in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([pa.array(parts_of(keys, h, bounds), pa.int32()), part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int32()), pa.array([packed_ids(x) for x in ids], pa.binary())], names=coded.names)
 
     dealt = rows.mapInArrow(encode, coded).repartitionById(n, F.col("part")).sortWithinPartitions("key", "h").select("key", "n", "payload")
