@@ -58,7 +58,7 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = repeated_spans.cut(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

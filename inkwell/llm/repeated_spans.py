@@ -137,6 +137,7 @@ def spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH) -> DataF
     # a name recurs if it stands at two places of different texts, or at two of one: copies of a text share their places
     named = _names(texts, shape)
     again = named.select("name", F.xxhash64("whole", "at").alias("place")).groupBy("name").agg(F.min("place").alias("p"), F.max("place").alias("q")).where("p < q").select("name")
+    again = written(again, "names")  # a table of its own, so that the join with a hot name's rows can be split
     found = named.join(again, "name").groupBy("whole").agg(F.collect_set("at").alias("found"))
     once = texts.groupBy("whole").agg(F.first("text").alias("text")).join(found, "whole")
     groups = written(_groups(once, shape), "groups")
