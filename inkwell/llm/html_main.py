@@ -57,10 +57,23 @@ SCOPE = {"article", "main", "body", "html", "table", "section", "ul", "ol", "dl"
 
 
 class Element:
-    __slots__ = ("tag", "start", "end", "parent", "other", "main", "holds_main")
+    """An element: other says that it is no main text, off that it or one around it is; in_main that it stands inside an article or main, the outermost of which is around."""
 
-    def __init__(self, tag: str, start: int, parent: "Element | None", other: bool, main: bool):
-        self.tag, self.start, self.end, self.parent, self.other, self.main, self.holds_main = tag, start, -1, parent, other, main, False
+    __slots__ = ("tag", "parent", "other", "off", "main", "in_main", "around", "holds_main", "parts", "hash")
+
+    def __init__(self, tag: str, parent: "Element | None", other: bool, main: bool, said: str):
+        self.tag, self.parent, self.other, self.main, self.holds_main = tag, parent, other, main, False
+        self.off = other or parent is not None and parent.off
+        self.in_main = parent is not None and (parent.main or parent.in_main)
+        self.around: Element | None = None if parent is None else parent.around or (parent if parent.main else None)
+        self.parts, self.hash = [said], 0
+
+    def close(self) -> None:
+        """The hash of the subtree: of its start tag, its texts (white space aside) and its elements' hashes, in order."""
+        self.hash = xxhash.xxh64_intdigest("\0".join(self.parts)) - (1 << 63)
+        self.parts = []
+        if self.parent is not None:
+            self.parent.parts.append(str(self.hash))
 
 
 def _other(tag: str, attrs: str, in_main: bool) -> bool:
@@ -87,19 +100,21 @@ def _other(tag: str, attrs: str, in_main: bool) -> bool:
 
 def parsed(page: str) -> tuple[list[Element], list[tuple[int, int, Element, bool]]]:
     """The elements, and the pieces of text as (start, end, element, whether a new block begins before it)."""
-    root = Element("", 0, None, False, False)
+    root = Element("", None, False, False, "")
     elements, pieces, stack, at, block = [], [], [root], 0, True
     n, low = len(page), None
 
-    def close(to: int, where: int) -> None:
+    def close(to: int) -> None:
         while len(stack) > to:
-            stack.pop().end = where
+            stack.pop().close()
 
     def say(a: int, b: int) -> None:
         nonlocal block
         if b > a:
             pieces.append((a, b, stack[-1], block))
             block = False
+            if said := " ".join(page[a:b].split()):
+                stack[-1].parts.append(said)
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -117,40 +132,41 @@ def parsed(page: str) -> tuple[list[Element], list[tuple[int, int, Element, bool
         if ending:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    close(i, at)
+                    close(i)
                     break
                 if stack[i].tag in SCOPE and tag not in SCOPE:
                     break
             continue
+        said = " ".join(m.group().split())
         if tag == "br":
             pieces.append((here, here, stack[-1], False))
-            continue
         if tag in VOID:
+            stack[-1].parts.append(said)
             continue
         if tag in BLOCK or tag in ENDS:
             ends = ENDS.get(tag, set()) | ({"p"} if tag in BLOCK else set())
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
-                    close(i, here)
+                    close(i)
                     break
                 if stack[i].tag in SCOPE:
                     break
-        in_main = any(e.main for e in stack)
-        other = _other(tag, attrs, in_main)
-        e = Element(tag, here, stack[-1], other, tag in ("article", "main") and not other)
+        other = _other(tag, attrs, stack[-1].main or stack[-1].in_main)
+        e = Element(tag, stack[-1], other, tag in ("article", "main") and not other, said)
         elements.append(e)
         if tag in RAW:
             low = low or page.lower()
             end = low.find(f"</{tag}", at)
-            at = n if end < 0 else (page.find(">", end) + 1 or n)
-            e.end = at
+            at, was = n if end < 0 else (page.find(">", end) + 1 or n), at
+            e.parts.append(" ".join(page[was:at].split()))
+            e.close()
         elif not attrs.endswith("/") or tag in BLOCK:
             stack.append(e)
         else:
-            e.end = at
-    close(1, n)
+            e.close()
+    close(1)
     for e in elements:
-        if e.main and not _inside(e, lambda x: x.other):
+        if e.main and not e.off:
             p = e.parent
             while p is not None and not p.holds_main:
                 p.holds_main = True
@@ -158,38 +174,18 @@ def parsed(page: str) -> tuple[list[Element], list[tuple[int, int, Element, bool
     return elements, pieces
 
 
-def _inside(e: Element | None, test) -> bool:
-    while e is not None:
-        if test(e):
-            return True
-        e = e.parent
-    return False
-
-
-def subtree_hash(page: str, e: Element) -> int:
-    return xxhash.xxh64_intdigest(" ".join(page[e.start : e.end].split())) - (1 << 63)
-
-
 def host_of(col: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(col, r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
 def _outer(elements: list[Element]) -> list[Element]:
     """Subtrees that can be templates: those neither around nor inside the article."""
-    return [e for e in elements if not e.holds_main and not _inside(e, lambda x: x.main)]
+    return [e for e in elements if not e.holds_main and not e.main and not e.in_main]
 
 
-def _inner(elements: list[Element]) -> list[tuple[Element, Element]]:
-    """(subtree inside the article that can be a template, the outermost article or main around it)."""
-    found = []
-    for e in elements:
-        if e.tag in INNER and not e.main:
-            x, around = e.parent, None
-            while x is not None:
-                around, x = x if x.main else around, x.parent
-            if around is not None and not e.holds_main:
-                found.append((e, around))
-    return found
+def _inner(elements: list[Element]) -> list[Element]:
+    """Subtrees inside the article that can be templates."""
+    return [e for e in elements if e.around is not None and e.tag in INNER and not e.main and not e.holds_main]
 
 
 def templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
@@ -204,9 +200,8 @@ def templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, share: float = SH
             counts: dict[tuple[str, int | None, int | None], int] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 elements = parsed(page)[0] if page else []
-                found: set[tuple[int | None, int | None]] = {(subtree_hash(page, e), None) for e in _outer(elements)}
-                of = {id(e): subtree_hash(page, e) for e in elements if e.main}
-                found |= {(subtree_hash(page, e), of[id(x)]) for e, x in _inner(elements)} | {(None, h) for h in of.values()}
+                found: set[tuple[int | None, int | None]] = {(e.hash, None) for e in _outer(elements)}
+                found |= {(e.hash, e.around.hash) for e in _inner(elements)} | {(None, e.hash) for e in elements if e.main}
                 for h, x in ((None, None), *found):
                     counts[host, h, x] = counts.get((host, h, x), 0) + 1
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in counts], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))), pa.array(list(counts.values()), pa.int64())], names=out.names)
@@ -226,23 +221,21 @@ def extracted(page: str | None, drop: set[tuple[int, bool]]) -> str:
     elements, pieces = parsed(page)
     out = {id(e) for e in elements if e.other}
     if drop:
-        out |= {id(e) for e in _outer(elements) if (subtree_hash(page, e), False) in drop}
-        out |= {id(e) for e, _ in _inner(elements) if (subtree_hash(page, e), True) in drop}
-    mains = any(e.main and e.tag == "article" and not _inside(e, lambda x: id(x) in out) for e in elements)
-    some = mains or any(e.main and not _inside(e, lambda x: id(x) in out) for e in elements)
-    known: dict[int, bool] = {}
+        out |= {id(e) for e in _outer(elements) if (e.hash, False) in drop}
+        out |= {id(e) for e in _inner(elements) if (e.hash, True) in drop}
+    gone: set[int] = set()  # elements stand after those around them
+    for e in elements:
+        if id(e) in out or id(e.parent) in gone:
+            gone.add(id(e))
+    live = [e for e in elements if e.main and id(e) not in gone]
+    tags = {"article"} if any(e.tag == "article" for e in live) else {"main"} if live else set()
+    inside: set[int] = set()
+    for e in elements:
+        if e.main and e.tag in tags or id(e.parent) in inside:
+            inside.add(id(e))
 
     def counts(e: Element) -> bool:
-        k = id(e)
-        if k not in known:
-            dropped = inside = False
-            x: Element | None = e
-            while x is not None:
-                dropped = dropped or id(x) in out
-                inside = inside or x.main and (x.tag == "article" or not mains)
-                x = x.parent
-            known[k] = not dropped and (inside or not some)
-        return known[k]
+        return id(e) not in gone and (not tags or id(e) in inside)
 
     blocks: list[list[str]] = [[]]
     for a, b, e, fresh in pieces:
