@@ -318,8 +318,11 @@ def scored(docs: DataFrame, train: Column, *, key: str = "doc_id", depth: int =
     base = float(np.log10(total + distinct + 1))
     table = written(model(grams, depth), "model")
     start = docs.select(key, F.col("text"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("logs"), F.lit(0.0).alias("score"))
+    first = True
     for g, w in zip_longest(_blocks(table, "score", np.float64, block), _blocks(words, "n", np.float64, block)):
-        start = _scan(start, key, g, w, depth, ends, base)
+        if not first:  # a task holds one pair of blocks, so what one scan has summed is written before the next
+            start = written(start, "scores")
+        start, first = _scan(start, key, g, w, depth, ends, base), False
     held = F.coalesce(~train, F.lit(True))
     return start.select(
         key, held.alias("held_out"), "n_bytes", "n_tokens", (F.col("n_known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

@@ -2,7 +2,7 @@
 
 The items' windows are hashed; every block of at most `block` windows is broadcast and one scan of the documents finds
 them (a larger benchmark takes several scans, each adding to the hits of those before). Hash hits are verified word by word
-before they count. Documents stream through; nothing is shuffled.
+before they count. Documents stream through; nothing is shuffled. Between two scans the hits so far are a table.
 
 Rows: null texts have no words; items without words have no windows; an item shorter than a window is one window. Repeated
 items and repeated documents each count as themselves. A null item_id marks hits, but is listed nowhere. Empty tables give
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Packed, Rolling, letters, packed, word_bounds
+from .common import Packed, Rolling, letters, packed, word_bounds, written
 
 #: Windows of the benchmark in one broadcast: some 100 bytes each.
 BLOCK = 500_000
@@ -128,7 +128,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     found = docs.select(key, F.col("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for b in range(blocks):  # a whole window falls in one block, as it is dealt by its hash
         rows = windows.where(F.pmod("hash", F.lit(blocks)) == b).collect()
-        found = _scanned(found, key, spark.sparkContext.broadcast(Block(rows)))
+        shared = spark.sparkContext.broadcast(Block(rows))
+        found = _scanned(found, key, shared)
+        if b < blocks - 1:  # a task holds one block, so what one scan has found is written before the next
+            found = written(found, "hits")
+            shared.unpersist()
     windows.unpersist()
     return found.withColumnRenamed("spans", "hit_words")
 
@@ -136,7 +140,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 def removed(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", window: int = WINDOW, block: int = BLOCK, drop: bool = False) -> DataFrame:
     """docs with the hit words cut out of their texts, from a run's first word to its last (or without the documents hit, if drop).
 
-    All columns stay; a null text stays null. The rest of a text joins with one space where a run stood.
+    All columns stay; a null text stays null. The rest of a text joins with one space where a run stood; words that meet there can
+    stand as a window again, as in the text they were apart: that is no hit of the text, and stays.
     """
     names = docs.columns
     packed_rows = docs.select(F.struct(*[docs[c] for c in names if c != "text"]).alias("row"), "text")

@@ -78,7 +78,7 @@ def _words(raw: bytes) -> tuple[float, ...]:
         return (0,) * 8
     counts = Counter(words)
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    return len(words), len(counts) / min(1, len(words)), max(counts.values()), sum(n for w, n in counts.items() if len(w) <= 2), len(lines), 1 - len(set(lines)) / len(lines), max(map(len, counts)), len(set(raw))
+    return len(words), float(len(counts)), max(counts.values()), sum(n for w, n in counts.items() if len(w) <= 2), len(lines), 1 - len(set(lines)) / len(lines), max(map(len, counts)), len(set(raw))
 
 
 @dataclass(frozen=True)
