@@ -58,6 +58,24 @@ def test_forced_cuts_hold():
     assert not codec.pairs[ord("a"), ord(" ")] and codec.pairs[ord("t"), ord("h")]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_forced_cuts_inside_words(name, monkeypatch):
+    codec = bpe.fragments(queries.tokenizer(name))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    never = [(x, y) for x in letters for y in letters if not codec.inside[ord(x), ord(y)]]
+    assert never and codec.split is not None
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(never)) * 3 + "the" for _ in range(20)] + ["x" * 3000 + "qz" * 500, "\u00c9T\u00c9 \u00e0\u00df\u00ff", "a<|endoftext|>b", "\u00b5m \u0130 \u4e2d"]
+    texts += ["".join(rnd.choice(letters[:9] + "ABQZ 019.,'!?<|>_\n\t\x1c\u00e9\u00c0\u00d7") for _ in range(rnd.randint(1, 50))) for _ in range(1500)]
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 1000)
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        want = codec.library.encode_batch_fast(part, add_special_tokens=False)
+        assert [np.frombuffer(x, "<i4").tolist() for x in codec.encode_all(part)] == [x.ids for x in want]
+    ids, counts = codec.coded(["".join(never[0])])
+    assert counts.tolist() == [2] and len(ids) == 2
+
+
 def rules_by_hand(text):
     t = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -242,6 +260,38 @@ def test_html_templates_inside_the_article(spark):
         assert got[7] == "Facts\n\nStory 7" and got[25] == "The same story"
 
 
+def test_html_counts_by_hand(spark):
+    """Which blocks are templates: counted per host in plain Python; and that switching templates off changes the texts."""
+    rnd = random.Random(8)
+    boxes = [f"<div><p>Box {i} says hello</p></div>" for i in range(6)]
+    rows = []
+    for i in range(60):
+        host = f"h{i % 3}.x"
+        some = [b for k, b in enumerate(boxes) if rnd.random() < (0.9 if k < i % 3 + 1 else 0.2)]
+        rows.append((i, f"http://{host}/{i}", f"<body><article><p>Story {i}</p>{''.join(some)}</article></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for host in range(3):
+        mine = [r for r in rows if r[0] % 3 == host]
+        often = {b for b in boxes if sum(b in r[2] for r in mine) >= max(html_main.MIN_PAGES, html_main.SHARE * len(mine))}
+        got = {r.page_id: r.text for r in html_main.main_text(pages).where(f"page_id % 3 = {host}").collect()}
+        for i, _, page in mine:
+            left = [f"Box {k} says hello" for k, b in enumerate(boxes) if b in page and b not in often]
+            assert got[i] == "\n\n".join([f"Story {i}", *left])
+        assert often
+    plain = {r.page_id: r.text for r in html_main.main_text(pages, min_pages=10**6).collect()}
+    with_counts = {r.page_id: r.text for r in html_main.main_text(pages).collect()}
+    assert sum(plain[i] != with_counts[i] for i in plain) > 30
+
+
+def test_html_deep_and_long(spark):
+    deep = "<div>" * 3000 + "core" + "</div>" * 3000
+    long = "<article>" + "".join(f"<p>word {i}</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://d.x/1", deep, "u", "t"), (2, "http://d.x/2", long, "u", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, text string")
+    got = {r.page_id: r for r in html_main.main_text(pages).collect()}
+    assert got[1].text == "core" and got[2].text.count("\n\n") == 19_999
+
+
 def test_html_names_of_attributes(spark):
     # names inside other attributes' values, and parts of names inside the article, drop no text
     page = '<article><p><a href="/hidden-lake/" title="hidden gems" data-id="search">Lake</a></p><h2 id="related-work">Work</h2><section id="notice-period">Weeks</section><p class="social-history">Past</p><p hidden>no</p><div class="x share">no</div></article>'
@@ -384,7 +434,7 @@ def test_near_duplicates(spark, seed):
     assert near_duplicates.classified(empty(spark)).count() == 0 and near_duplicates.representatives(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("how", [{}, {"block": 8, "rounds": 0}])
+@pytest.mark.parametrize("how", [{}, {"rounds": 0, "small": 1, "block": 16}, {"rounds": 0, "small": 10**6}])
 def test_near_duplicates_in_large_buckets(spark, how):
     """Texts with one passage in common; some align just so and agree in none of sixteen ordered samples of their words."""
     passage = [f"p{i}" for i in range(80)]
@@ -410,30 +460,51 @@ def test_near_duplicates_in_large_buckets(spark, how):
     assert [got[i] for i in range(len(words))] == group
 
 
-def test_one_agreement_makes_a_candidate(spark):
-    words = np.arange(40, dtype=np.uint64)
-    live = [(b, bytes([x]) * 16, 40, bytes([x]) * 16) for b, nodes in ((1, (1, 2, 3)), (2, (2, 3)), (3, (4,))) for x in nodes]
-    live = spark.createDataFrame(live, "bucket long, node binary, n int, class binary")
-    texts = spark.createDataFrame([(bytes([x]) * 16, (words + (20 if x == 1 else 0) * (words > 34).astype(np.uint64)).tobytes()) for x in (1, 2, 3, 4)], "node binary, w binary")
-    for block in (512, 1):
-        got = sorted((r.a[0], r.b[0]) for r in near_duplicates.candidates(live, texts, block=block).collect())
-        assert got == [(1, 2), (1, 3), (2, 3)]
-
-
-def test_no_link_is_ruled_out():
-    rnd = np.random.default_rng(4)
-    texts = [rnd.integers(0, 50 if t % 2 else 5000, rnd.integers(1, 900)).astype(np.uint64) for t in range(20)]
-    for t in texts[:20]:
-        w = t.copy()
-        w[rnd.random(len(w)) < rnd.choice([0.05, 0.15, 0.19, 0.25])] = 7
+@pytest.mark.parametrize("block", [1, 256])
+def test_candidates_hold_every_link(spark, block):
+    rnd, texts = random.Random(9), []
+    for t in range(90):
+        vocabulary = rnd.choice([3, 12, 400])
+        w = [rnd.randrange(vocabulary) for _ in range(rnd.choice([1, 2, 3, 4, 6, 11, 40, 90]))]
         texts.append(w)
-    n = np.array([len(t) for t in texts])
-    slots = [np.minimum(np.bincount((t % np.uint64(near_duplicates.SLOTS)).astype(int), minlength=near_duplicates.SLOTS), 255) for t in texts]
-    a, b = np.triu_indices(len(texts), 1)
-    keep = near_duplicates.may_align(a, b, n, np.array(slots, np.uint8), 0.8)
-    most = (0.2 * np.maximum(n[a], n[b]) + 1e-9).astype(int)
-    links = np.array([near_duplicates.edit_distance(texts[i], texts[j], int(m)) <= m for i, j, m in zip(a, b, most, strict=True)])
-    assert links.sum() > 5 and keep[links].all() and not keep.all()
+        for _ in range(rnd.randint(0, 2)):
+            v = list(w)
+            for _ in range(rnd.randint(0, max(1, len(v) // 4))):
+                at = rnd.randrange(len(v) + 1)
+                v[at : at + rnd.randint(0, 1)] = [rnd.randrange(vocabulary)] * rnd.randint(0, 1)
+            texts.append(v or [1])
+    raw = [np.array(t, np.uint64) for t in texts]
+    name = [i.to_bytes(16, "big") for i in range(len(texts))]
+    of = [i // 2 if i % 10 < 2 else 1000 + i for i in range(len(texts))]  # some stand in one class already
+    nodes = spark.createDataFrame([(n, c.to_bytes(16, "big")) for n, c in zip(name, of, strict=True)], "node binary, class binary")
+    words = spark.createDataFrame([(n, w.tobytes()) for n, w in zip(name, raw, strict=True)], "node binary, w binary")
+    large = nodes.join(words, "node").select("class", "node", "w")
+    rows = near_duplicates.between(near_duplicates.class_pairs(large), large, block=block).collect()
+    got = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in rows}
+    assert len(got) == len(rows)
+    links = set()
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            most = int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)
+            if of[i] != of[j] and near_duplicates.edit_distance(raw[i], raw[j], most) <= most:
+                links.add((i, j))
+    assert len(links) > 50 and links <= got and all(of[i] != of[j] for i, j in got)
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2])
+def test_recall_by_edit_rate(rate):
+    """Pairs of 200 words with that share of them changed at random places: how many agree in a sample."""
+    rnd = np.random.default_rng(int(rate * 100))
+    n, size = 300, 200
+    a = rnd.integers(0, 1 << 60, (n, size)).astype(np.uint64)
+    b = a.copy()
+    for row in b:
+        at = rnd.choice(size, int(rate * size), replace=False)
+        row[at] = rnd.integers(0, 1 << 60, len(at)).astype(np.uint64)
+    both = np.concatenate([a, b])
+    mers, of = near_duplicates._labelled(both.ravel(), np.repeat(np.arange(2 * n), size), 2 * n, near_duplicates.WORDS)
+    made = near_duplicates.order_samples(mers, of, 2 * n, near_duplicates.SAMPLES, near_duplicates.KEPT)
+    assert (made[:n] == made[n:]).any(1).mean() >= 0.9
 
 
 def test_pipeline_stages(spark):
@@ -452,6 +523,19 @@ def test_pipeline_stages(spark):
     assert now.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").count() == 0
 
 
+def test_pipeline_cuts_passages(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    say = lambda n: " ".join("".join(rnd.choice("aeinorst") for _ in range(rnd.randint(3, 6))) for _ in range(n))
+    passage = say(55)
+    docs = docs_of(spark, [(i, say(80) + "\n" + passage + "\n" + say(70) if i % 2 else say(200)) for i in range(8)] + [(9, None), (10, "")])
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, DATA).collect()}
+    was = {r.doc_id: r.text for r in docs.collect()}
+    assert all(passage[5:-5] not in got[i] and len(got[i]) > 500 for i in range(1, 8, 2))
+    assert all(got[i] == was[i] for i in (0, 2, 4, 6, 9, 10))
+
+
 def test_crc(spark):
     from inkwell.llm.common import crc_of_id
 
