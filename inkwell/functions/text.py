@@ -41,13 +41,6 @@ def run_tokens(x: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(col(x), F.lit(r"([\p{IsAlphabetic}\p{N}]+)"), 1))
 
 
-def char_ngrams(x: Column | str, least: int, most: int) -> Column:
-    """Distinct n-grams over the letters and digits of x."""
-    s = F.regexp_replace(col(x), r"[^\p{IsAlphabetic}\p{N}]+", "")
-    grams = lambda n: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.array(*[grams(F.lit(n)) for n in range(least, most + 1)])))
-
-
 def occurrences(x: Column | str, term: Column | str) -> Column:
     """Non-overlapping occurrences of a term."""
     t = F.lit(term) if isinstance(term, str) else term

@@ -21,7 +21,8 @@ def whole_project():
 def power_regression(chunks: DataFrame, pack: Pack) -> DataFrame:
     """Chunks at or after a project's first high level that name a low one: (project_id, n, lines)."""
     x = chunks.select("project_id", "path", "chunk_index", any_of("content", pack.power_high).alias("high"), F.element_at(F.filter(F.concat(present("content", pack.power_low), F.array(F.lit(""))), lambda t: t.isNotNull()), 1).alias("low"))
-    hit = x.withColumn("since", F.max("high").over(in_order())).where("since AND low != ''")
+    first = x.where("high").groupBy("project_id").agg(F.min(F.struct("path", "chunk_index")).alias("first"))
+    hit = x.where("low != ''").join(first, "project_id").where(F.struct("path", "chunk_index") >= F.col("first"))
     return hit.groupBy("project_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "chunk_index", "low"))), lambda r: F.concat_ws(":", r["path"], r["chunk_index"].cast("string"), r["low"])), "\n").alias("lines"))
 
 
@@ -46,13 +47,19 @@ def chapter_length_anomaly(chunks: DataFrame) -> DataFrame:
     return x.where("n >= 3 AND mean >= 10 AND chars > 2.5 * mean").groupBy("project_id").agg(F.min(F.struct("path", "chunk_index", "chars", "mean")).alias("x")).select("project_id", "x.path", "x.chunk_index", "x.chars", F.round("x.mean", 3).alias("mean"))
 
 
-def identity_conflicts(chunks: DataFrame, pack: Pack) -> DataFrame:
-    """Names near status terms of two tiers or more: (project_id, name, tiers, n chunks)."""
+def identity_evidence(chunks: DataFrame, pack: Pack) -> DataFrame:
+    """Names near status terms: (project_id, name, path, chunk_index, term, tier), once each; a chunk that names the protagonist gives them all its tiers."""
     rows = None
     for tier, terms in pack.tiers.items():
         for t in terms:
-            x = chunks.where(F.contains("content", F.lit(t))).select("project_id", "chunk_id", F.lit(tier).alias("tier"), F.explode(F.concat(F.array_distinct(nearby_names("content", t, pack.near_run)), F.when(F.contains("content", F.lit(pack.protagonist)), F.array(F.lit(pack.protagonist))).otherwise(F.array().cast("array<string>")))).alias("name"))
+            x = chunks.where(F.contains("content", F.lit(t))).select("project_id", "path", "chunk_index", F.lit(t).alias("term"), F.lit(tier).alias("tier"), F.explode(F.array_distinct(F.concat(nearby_names("content", t, pack.near_run), F.when(F.contains("content", F.lit(pack.protagonist)), F.array(F.lit(pack.protagonist))).otherwise(F.array().cast("array<string>"))))).alias("name"))
             rows = x if rows is None else rows.unionByName(x)
+    return rows.distinct()
+
+
+def identity_conflicts(chunks: DataFrame, pack: Pack) -> DataFrame:
+    """Names near status terms of two tiers or more: (project_id, name, tiers); identity_evidence() has their lines."""
+    rows = identity_evidence(chunks, pack)
     return rows.groupBy("project_id", "name").agg(F.array_join(F.array_sort(F.collect_set("tier")), ",").alias("tiers"), F.count_distinct("tier").alias("k")).where("k >= 2").drop("k")
 
 
@@ -80,8 +87,18 @@ def place_name_anachronisms(chunks: DataFrame, terms: tuple[str, ...], pack: Pac
 
 
 CHECKS = {"power_regression": power_regression, "low_streak": low_streak, "diminishing_runs": diminishing_runs, "identity_conflicts": identity_conflicts, "rank_conflicts": rank_conflicts, "chapter_length_anomaly": lambda c, p: chapter_length_anomaly(c)}
+#: Checks that need a period's terms besides (a knowledge pack's).
+PERIOD_CHECKS = {"anachronisms": lambda c, p, terms: anachronisms(c, terms, p.modern), "place_name_anachronisms": lambda c, p, terms: place_name_anachronisms(c, terms, p)}
+
+
+def period_terms(knowledge: DataFrame, period: str, most: int = 10_000) -> tuple[str, ...]:
+    """A period's terms from the knowledge table, sorted; packs are written by hand, so more than `most` is an error."""
+    rows = knowledge.where(F.col("dynasty") == period).select("term").distinct().orderBy("term").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms of {period}")
+    return tuple(r.term for r in rows)
 
 
-def run_check(name: str, chunks: DataFrame, pack: Pack, severity: str = "medium") -> DataFrame:
-    made = CHECKS[name](chunks, pack)
+def run_check(name: str, chunks: DataFrame, pack: Pack, severity: str = "medium", terms: tuple[str, ...] = ()) -> DataFrame:
+    made = PERIOD_CHECKS[name](chunks, pack, terms) if name in PERIOD_CHECKS else CHECKS[name](chunks, pack)
     return made if "severity" in made.columns else made.withColumn("severity", F.lit(severity))

@@ -71,21 +71,26 @@ def repeated_actions(chunks: DataFrame, pack: Pack, least: int = 4) -> DataFrame
     return _by_term(chunks, pack.verbs, least, "repeated_action", None, around)
 
 
-def phrase_counts(chunks: DataFrame, least: int = 5, n: tuple[int, int] = (4, 10), delimiters: str = "[。！？\n]") -> DataFrame:
-    """(project_id, phrase, n_chunks) of phrases in at least so many chunks. Counted first by the shortest length: a longer phrase can't be in more chunks than its first letters."""
-    units = chunks.select("project_id", "chunk_id", F.explode(sentences("content", delimiters)).alias("s"))
-    clean = units.select("project_id", "chunk_id", F.regexp_replace("s", r"[^\p{IsAlphabetic}\p{N}]+", "").alias("s")).where(F.length("s") >= n[0])
-    starts = clean.select("project_id", "chunk_id", "s", F.explode(F.sequence(F.lit(1), F.length("s") - n[0] + 1)).alias("i"))
-    starts = starts.select("project_id", "chunk_id", F.expr(f"substring(s, i, {n[0]})").alias("phrase"), F.expr(f"substring(s, i, {n[1]})").alias("long"))
-    short = starts.select("project_id", "chunk_id", "phrase").distinct().groupBy("project_id", "phrase").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= least)
-    live = starts.where(F.length("long") > n[0]).join(short.select("project_id", "phrase"), ["project_id", "phrase"])
-    longer = live.select("project_id", "chunk_id", F.explode(F.transform(F.sequence(F.lit(n[0] + 1), F.length("long")), lambda k: F.substring(F.col("long"), F.lit(1), k))).alias("phrase")).distinct()
-    return short.unionByName(longer.groupBy("project_id", "phrase").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= least))
-
-
 def top_phrases(chunks: DataFrame, least: int = 5, n: tuple[int, int] = (4, 10), top: int = 15, delimiters: str = "[。！？\n]") -> DataFrame:
+    """(project_id, phrase, n_chunks, rank): the phrases of n letters that stand in most chunks of a project, longer ones first.
+
+    The shortest length is counted first, each phrase once a chunk before the shuffle. A longer phrase stands in no more chunks
+    than its first letters, so only those whose first letters are in as many chunks as the top-th short phrase are counted.
+    """
+    clean = F.filter(F.transform(sentences("content", delimiters), lambda s: F.regexp_replace(s, r"[^\p{IsAlphabetic}\p{N}]+", "")), lambda s: F.length(s) >= n[0])
+    rows = chunks.select("project_id", "chunk_id", clean.alias("said"))
+    runs = lambda s, g: F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n[0]}}})(.{{0,{n[1] - n[0]}}}))."), g)  # noqa: E731  at every letter
+    counted = lambda x: x.groupBy("project_id", "phrase").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= least)
+    short = stored(counted(rows.select("project_id", F.explode(F.array_distinct(F.flatten(F.transform("said", lambda s: runs(s, 1))))).alias("phrase"))))
+    by = W.partitionBy("project_id").orderBy(F.desc("n_chunks"), "phrase")
+    bar = short.withColumn("i", F.row_number().over(by)).where(F.col("i") <= top).groupBy("project_id").agg(F.when(F.count("*") == top, F.min("n_chunks")).otherwise(0).alias("bar"))
+    live = short.join(bar, "project_id").where("n_chunks >= bar").select("project_id", "phrase", "bar")
+    starts = rows.select("project_id", "chunk_id", F.explode("said").alias("s")).select("project_id", "chunk_id", F.explode(F.arrays_zip(runs("s", 1).alias("phrase"), runs("s", 2).alias("more"))).alias("x"))
+    starts = starts.select("project_id", "chunk_id", "x.phrase", "x.more").where("more != ''").join(live, ["project_id", "phrase"])
+    longer = starts.select("project_id", "chunk_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("more")), lambda k: F.concat("phrase", F.substring(F.col("more"), F.lit(1), k)))).alias("phrase")).distinct()
+    every = short.join(live.select("project_id", "phrase"), ["project_id", "phrase"]).unionByName(counted(longer))
     order = W.partitionBy("project_id").orderBy(F.desc("n_chunks"), F.desc(F.length("phrase")), "phrase")
-    return phrase_counts(chunks, least, n, delimiters).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return every.select("project_id", "phrase", "n_chunks").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def high_freq_phrases(chunks: DataFrame, pack: Pack, least: int = 5, n: tuple[int, int] = (4, 10), top: int = 15) -> DataFrame:
@@ -98,7 +103,7 @@ def high_freq_phrases(chunks: DataFrame, pack: Pack, least: int = 5, n: tuple[in
 
 
 def dialogue_patterns(chunks: DataFrame, pack: Pack, least: int = 6) -> DataFrame:
-    led = lambda g: F.col("content").rlike(r"[\p{IsAlphabetic}\p{N}][\s\S]{0,7}" + re.escape(g) + "[：:]")
+    led = lambda g: F.col("content").rlike(r"[\p{IsAlphabetic}\p{N}][\s\S]{0,7}" + re.escape(g) + pack.speech)
     found = F.filter(F.array(*[F.when(led(g), F.lit(g)) for g in pack.guides]), lambda x: x.isNotNull())
     hits = chunks.select("project_id", "path", "chunk_index", "chunk_id", "title", F.substring("content", 1, 80).alias("snip"), F.explode(found).alias("guide")).select("project_id", "guide", evidence(F.col("snip")).alias("evidence"))
     made = hits.groupBy("project_id", "guide").agg(F.count("*").alias("n"), gathered(5).alias("evidence")).where(F.col("n") >= least)
@@ -142,7 +147,7 @@ def similar_pairs(chunks: DataFrame, pack: Pack, t: float = 0.6) -> DataFrame:
     pairs = a.join(b, ["project_id", "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9)).select("project_id", "a", "b").distinct()
     full = pairs.join(sets.select("project_id", F.col("set_id").alias("a"), F.col("tokens").alias("ta")), ["project_id", "a"]).join(sets.select("project_id", F.col("set_id").alias("b"), F.col("tokens").alias("tb")), ["project_id", "b"])
     both = F.size(F.array_intersect("ta", "tb"))
-    return full.withColumn("common", both).where(F.col("common") >= F.lit(t) * (F.size("ta") + F.size("tb") - F.col("common")) - 1e-9).select("project_id", "a", "b", "common", (F.size("ta") + F.size("tb") - F.col("common")).alias("total"))
+    return full.withColumn("common", both).where(F.col("common") >= F.lit(t) * (F.size("ta") + F.size("tb") - F.col("common")) - 1e-9).select("project_id", "a", "b", "common", (F.size("ta") + F.size("tb") - F.col("common")).alias("total"), "ta", "tb")
 
 
 def _shared(spark) -> str:
@@ -150,14 +155,19 @@ def _shared(spark) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives a lost executor."""
-    path = f"{_shared(df.sparkSession)}/{uuid.uuid4().hex}"
+    """df as a table in the shared folder: cuts lineage and survives a lost executor; removed when the session ends."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/{uuid.uuid4().hex}"
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, present
+from ..functions.text import any_of, occurrences, present
 from ..packs import Pack
 
 
@@ -54,6 +54,20 @@ def entity_density(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
     return found.join(size, "project_id").select("project_id", "node_type", (F.col("n") * 1000.0 / F.col("chars")).alias("density"))
 
 
+def knowledge_density(chunks: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """Occurrences of a knowledge pack's terms per 1000 characters."""
+    hits = sum((occurrences("content", t) for t in terms), F.lit(0).cast("long"))
+    return chunks.select("project_id", F.length("content").cast("long").alias("chars"), hits.alias("hits")).groupBy("project_id").agg(per_thousand(F.sum("hits")).alias("knowledge_density"))
+
+
+def issue_counts(issues: DataFrame) -> DataFrame:
+    return issues.groupBy("project_id", "issue_type").agg(F.count("*").alias("n"))
+
+
+def flashbacks(timeline: DataFrame) -> DataFrame:
+    return timeline.groupBy("project_id").agg(F.count_if("is_flashback").alias("flashbacks"), F.count("*").alias("events"))
+
+
 UNITS = {"pleasure_density": "per_1000_chars", "conflict_density": "per_1000_chars", "modern_density": "per_1000_chars", "intensity": "per_1000_chars", "chapter_avg_words": "chars", "upgrade_interval": "chapters", "pacing_flatness": "share"}
 
 

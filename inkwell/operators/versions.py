@@ -30,6 +30,29 @@ def removed_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_anti")
 
 
+def live_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunks of documents that are there and not deleted, with document_title. docs: project_id, path, title, deleted."""
+    live = docs.where("NOT coalesce(deleted, false)").select("project_id", "path", F.col("title").alias("document_title"))
+    return chunks.join(live, ["project_id", "path"])
+
+
+def with_evidence(rows: DataFrame, chunks: DataFrame, docs: DataFrame, by: str = "first_chunk_id", width: int = 80) -> DataFrame:
+    """rows (candidates, foreshadows) with path, title and snippet of the chunk that column `by` names; rows without a live chunk go.
+
+    Only narrow columns of the chunks meet the rows.
+    """
+    said = live_chunks(chunks.select("project_id", "path", "chunk_id", F.col("title").alias("chapter_title"), F.substring("content", 1, width).alias("snippet")), docs)
+    return rows.join(said.select(F.col("chunk_id").alias(by), F.col("path").alias("document_path"), "document_title", "chapter_title", "snippet"), by)
+
+
+def scan_log(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row per document and state change: project_id, path, event, old and new hash. Documents that stay as they are have none."""
+    a = old.select("project_id", "path", F.col("content_hash").alias("old_hash"))
+    b = new.select("project_id", "path", F.col("content_hash").alias("new_hash"))
+    event = F.when(F.col("old_hash").isNull(), "created").when(F.col("new_hash").isNull(), "deleted").when(F.col("old_hash") != F.col("new_hash"), "modified")
+    return a.join(b, ["project_id", "path"], "full_outer").select("project_id", "path", event.alias("event"), "old_hash", "new_hash").where("event IS NOT NULL")
+
+
 def revision_impact(removed: DataFrame, nodes: DataFrame, fores: DataFrame, rules: DataFrame) -> DataFrame:
     """Per project: what refers to removed chunks, and a summary text."""
     ids = removed.select("chunk_id").distinct()
@@ -103,6 +126,10 @@ def list_issues(issues: DataFrame, limit: int, prefix: str = "", updated: str =
     return issues.where(F.col("issue_type").startswith(prefix)).orderBy(ranked("severity", SEVERITY), F.desc(updated), "issue_type", "title").limit(limit)
 
 
+def list_foreshadows(fores: DataFrame, limit: int, updated: str = "updated_at") -> DataFrame:
+    return fores.orderBy(F.desc(updated), "title", "project_id").limit(limit)
+
+
 def list_tasks(tasks: DataFrame, limit: int, created: str = "created_at") -> DataFrame:
     return tasks.orderBy(ranked("priority", ("high", "medium")), F.desc(created), "title").limit(limit)
 

@@ -49,6 +49,8 @@ class Pack:
     conflict: tuple[str, ...] = ()
     upgrade: tuple[str, ...] = ()
     weights: dict[str, float] = field(default_factory=dict)
+    #: What stands between a speaker's verb and the words said.
+    speech: str = "[：:]"
 
 
 # Word lists, patterns and limits that results depend on.
@@ -137,6 +139,9 @@ LATIN = replace(
     prerequisite=r"only ([a-z]{2,9}) (?:then|for) ([a-z]{2,9})",
     contradictions=("but", "or", "aber", "pas"),
     flashback=r"(was|war|qui|los)",
+    relative=r"([0-9]{1,6})",
+    absolute=r"([a-zà-ÿ]{4,9}) ([0-9]{2,4})",
+    speech="[,.]",
     power_high=("tionth", "keitge", "auxque"),
     power_low=("that", "nicht", "dans"),
     streak=("tionth", "erhe", "keit"),
@@ -155,3 +160,27 @@ LATIN = replace(
     weights={"tion": 1.0, "keit": 2.0, "aux": 3.0},
 )
 PACKS = {"zh": ZH, "latin": LATIN}
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What a kind of book is analysed for."""
+
+    name: str = "base"
+    people: bool = True
+    places: bool = True
+    items: bool = True
+    foreshadows: bool = True
+    eye_colours: bool = True
+    repeat_terms: bool = True
+    checks: tuple[str, ...] = ()
+
+    @property
+    def kinds(self) -> tuple[str, ...]:
+        return tuple(k for k in ("people", "places", "items") if getattr(self, k))
+
+
+def merged(profiles: tuple[Profile, ...]) -> Profile:
+    """The profile that does what any of these does; checks in the order in which they are first named."""
+    on = {k: any(getattr(p, k) for p in profiles) for k in ("people", "places", "items", "foreshadows", "eye_colours", "repeat_terms")}
+    return Profile("+".join(p.name for p in profiles), **on, checks=tuple(dict.fromkeys(c for p in profiles for c in p.checks)))

@@ -6,29 +6,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checks, detectors, mentions, metrics, story, versions
-from ..packs import Pack
-
-
-def analyze(chunks: DataFrame, pack: Pack, kinds: tuple[str, ...] = ("people", "places", "items")) -> dict[str, DataFrame]:
-    """All result tables of a full scan, by name."""
-    found = mentions.mentions(chunks, pack, kinds)
-    cands = mentions.merge_aliases(mentions.candidates(found), chunks, pack)
-    fores = detectors.foreshadows(chunks, pack)
-    rules = story.extract_rules(chunks, pack)
-    own = detectors.run_detectors(chunks, pack, {"a": detectors.attribute_conflicts, "t": detectors.repeat_terms}, prefix="")
-    issues = own.unionByName(detectors.run_detectors(chunks, pack))
-    issues = issues.withColumn("issue_id", F.sha2(F.concat_ws("|", "project_id", "issue_type", "title", F.to_json("evidence")), 256))
-    fores = fores.withColumn("foreshadow_id", F.sha2(F.concat_ws("|", "project_id", "title", "first_chunk_id"), 256))
+from ..packs import Pack, Profile, merged
+
+#: The key by which a later scan knows a row again, and the status of a new row.
+KEYS = {"candidates": (("project_id", "node_type", "name"), "candidate"), "foreshadows": (("foreshadow_id",), "candidate"), "issues": (("issue_id",), "open"), "rules": (("project_id", "name", "source_chunk_id"), "candidate")}
+CLOSED = ("false_positive", "discarded", "resolved", "intentional")
+
+
+def known(name: str, made: DataFrame, prior: dict[str, DataFrame]) -> DataFrame:
+    """made with status: what the prior table of that name has for the row, else a new row's."""
+    key, fresh = KEYS[name]
+    made = made.drop("status")
+    if name not in prior:
+        return made.withColumn("status", F.lit(fresh))
+    old = prior[name].groupBy(*key).agg(F.max("status").alias("status"))
+    return made.join(old, list(key), "left").withColumn("status", F.coalesce("status", F.lit(fresh)))
+
+
+def _as_issue(kind: str, rows: DataFrame, title: str) -> DataFrame:
+    """Rows of a check or of rule conflicts as issues: their columns become the description."""
+    severity = F.col("severity") if "severity" in rows.columns else F.lit("medium")
+    said = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in ("project_id", "severity")]))
+    head = F.concat_ws(" ", F.lit(kind), F.col(title)) if title else F.lit(kind)
+    return rows.select("project_id", F.lit(kind).alias("issue_type"), severity.alias("severity"), head.alias("title"), said.alias("description"), F.array().cast(detectors.EVIDENCE).alias("evidence"))
+
+
+def analyze(chunks: DataFrame, pack: Pack, profiles: tuple[Profile, ...] = (Profile(checks=tuple(checks.CHECKS)),), prior: dict[str, DataFrame] | None = None, detector_list: dict | None = None, terms: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """All result tables of a full scan, by name. The chunks are stored once and read by every operator.
+
+    prior: tables of the scan before (candidates, foreshadows, issues, rules with status; tasks with source_id): rows that are
+    known keep their status, and issues that have a task, or are closed, get no other. terms: a period's, for period checks.
+    """
+    prior, profile = prior or {}, merged(profiles)
+    chunks = detectors.stored(chunks)
+    found = mentions.mentions(chunks, pack, profile.kinds) if profile.kinds else mentions.mentions(chunks.limit(0), pack)
+    cands = known("candidates", mentions.merge_aliases(mentions.candidates(found), chunks, pack), prior)
+    fores = detectors.foreshadows(chunks if profile.foreshadows else chunks.limit(0), pack)
+    fores = known("foreshadows", fores.withColumn("foreshadow_id", F.sha2(F.concat_ws("|", "project_id", "title", "first_chunk_id"), 256)), prior)
+    rules = known("rules", story.extract_rules(chunks, pack), prior)
+    conflicts = story.rule_conflicts(chunks, rules, pack)
+    own = {k: f for k, f, on in (("a", detectors.attribute_conflicts, profile.eye_colours), ("t", detectors.repeat_terms, profile.repeat_terms)) if on}
+    made = {k: checks.run_check(k, chunks, pack, terms=terms) for k in profile.checks}
+    issues = detectors.run_detectors(chunks, pack, detector_list)
+    if own:
+        issues = issues.unionByName(detectors.run_detectors(chunks, pack, own, prefix=""))
+    issues = issues.unionByName(_as_issue("rule_conflict", conflicts, "rule"))
+    for k, rows in made.items():
+        issues = issues.unionByName(_as_issue(k, rows, ""))
+    issues = known("issues", issues.withColumn("issue_id", F.sha2(F.concat_ws("|", "project_id", "issue_type", "title", "description", F.to_json("evidence")), 256)), prior)
+    done = prior["tasks"].select("source_id") if "tasks" in prior else issues.limit(0).select(F.col("issue_id").alias("source_id"))
+    timeline = story.with_mentions(story.timeline_events(chunks, pack), found)
+    live = lambda rows: rows.where(~F.col("status").isin(*CLOSED))
     return {
-        "candidates": cands, "foreshadows": fores, "issues": issues, "rules": rules, "rule_conflicts": story.rule_conflicts(chunks, rules, pack), "timeline": story.with_mentions(story.timeline_events(chunks, pack), found), "metrics": metrics.metrics(chunks, pack),
-        "tasks": versions.auto_tasks(issues, fores, issues.limit(0).select(F.col("issue_id").alias("source_id"))), **{k: checks.run_check(k, chunks, pack) for k in checks.CHECKS},
+        "candidates": cands, "foreshadows": fores, "issues": issues, "rules": rules, "rule_conflicts": conflicts, "timeline": timeline, "metrics": metrics.metrics(chunks, pack),
+        "issue_counts": metrics.issue_counts(issues), "flashbacks": metrics.flashbacks(timeline), "tasks": versions.auto_tasks(live(issues), live(fores), done), **made,
     }
 
 
 def incremental(old_docs: DataFrame, listing: DataFrame, old_chunks: DataFrame, new_chunks: DataFrame, prior: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """States of documents, revisions, impact and its tasks; new_chunks are those of created and modified documents."""
+    """States of documents, revisions, the scan log, impact and its tasks; new_chunks are those of created and modified documents."""
     states = versions.classify_documents(old_docs, listing)
     touched = states.where("state IN ('created', 'modified', 'deleted')").select("project_id", "path")
     old = old_chunks.join(touched, ["project_id", "path"], "left_semi")
     impact = versions.revision_impact(versions.removed_chunks(old, new_chunks), prior["candidates"], prior["foreshadows"], prior["rules"])
-    return {"states": states, "revisions": versions.revisions(old, new_chunks), "impact": impact, "tasks": versions.impact_tasks(impact)}
+    return {"states": states, "log": versions.scan_log(old_docs.where("NOT deleted"), listing), "revisions": versions.revisions(old, new_chunks), "impact": impact, "tasks": versions.impact_tasks(impact)}

@@ -92,9 +92,9 @@ def c4_run_tokens(spark, d):
 
 
 @query(CH + f"""SELECT project_id, path, chunk_index, t AS term, CASE WHEN p = 0 THEN substr(content, 1, 60) ELSE substr(content, greatest(1, p - 18), least(length(content), p + length(t) + 17) - greatest(1, p - 18) + 1) END AS snippet,
-CAST((length(content) - length(replace(content, t, ''))) / length(t) AS BIGINT) AS n FROM (SELECT *, instr(content, t) AS p FROM (SELECT *, unnest({lst(P.watched[:3])}) AS t FROM ch))""")
+CAST((length(content) - length(replace(content, t, ''))) / length(t) AS BIGINT) AS n FROM (SELECT *, instr(content, t) AS p FROM (SELECT *, unnest({lst(P.watched)}) AS t FROM ch))""")
 def c6_snippets(spark, d):
-    x = chunks_of(spark, d).withColumn("term", F.explode(tx.words_array(P.watched[:3])))
+    x = chunks_of(spark, d).withColumn("term", F.explode(tx.words_array(P.watched)))
     return x.select("project_id", "path", "chunk_index", "term", tx.snippet("content", F.col("term")).alias("snippet"), tx.occurrences("content", F.col("term")).alias("n"))
 
 
@@ -179,7 +179,7 @@ def a4_top_phrases(spark, d):
     return detectors.top_phrases(chunks_of(spark, d), delimiters=P.delimiters)
 
 
-@query(CH + f""", x AS (SELECT project_id, g, count(*) AS n FROM (SELECT *, unnest({lst(P.guides)}) AS g FROM ch) WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}][\\s\\S]{{0,7}}' || g || '[：:]') GROUP BY ALL) SELECT project_id, '某某' || g AS title, n AS match_count FROM x WHERE n >= 1""")
+@query(CH + f""", x AS (SELECT project_id, g, count(*) AS n FROM (SELECT *, unnest({lst(P.guides)}) AS g FROM ch) WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}][\\s\\S]{{0,7}}' || g || '{P.speech}') GROUP BY ALL) SELECT project_id, '某某' || g AS title, n AS match_count FROM x WHERE n >= 1""")
 def a6_dialogue_patterns(spark, d):
     return detectors.dialogue_patterns(chunks_of(spark, d), P, least=1).select("project_id", "title", "match_count")
 
@@ -192,10 +192,12 @@ def a7_psych_density(spark, d):
 @query(SE + """, t AS (SELECT DISTINCT project_id, list_sort(list_distinct(regexp_extract_all(s, '[\\p{L}\\p{N}]+'))) AS t FROM se WHERE strlen(s) >= 20),
 k AS (SELECT *, row_number() OVER () AS k FROM t WHERE len(t) > 0), w AS (SELECT project_id, k, unnest(t) AS w FROM k),
 p AS (SELECT a.project_id, a.k AS a, b.k AS b, count(*) AS common FROM w a JOIN w b ON a.project_id = b.project_id AND a.w = b.w AND a.k < b.k GROUP BY ALL),
-q AS (SELECT p.project_id, common, len(x.t) + len(y.t) - common AS total FROM p JOIN k x ON x.k = a JOIN k y ON y.k = b WHERE common >= 0.6 * (len(x.t) + len(y.t) - common) - 1e-9)
-SELECT project_id, count(*) AS pairs, CAST(sum(common) AS BIGINT) AS common, CAST(sum(total) AS BIGINT) AS total FROM q GROUP BY project_id""")
+q AS (SELECT p.project_id, array_to_string(x.t, ' ') AS s, array_to_string(y.t, ' ') AS t, common, len(x.t) + len(y.t) - common AS total FROM p JOIN k x ON x.k = a JOIN k y ON y.k = b WHERE common >= 0.6 * (len(x.t) + len(y.t) - common) - 1e-9)
+SELECT project_id, least(s, t) AS one, greatest(s, t) AS other, common, CAST(total AS BIGINT) AS total FROM q""")
 def a8_similar_pairs(spark, d):
-    return detectors.similar_pairs(chunks_of(spark, d), P).groupBy("project_id").agg(F.count("*").alias("pairs"), F.sum("common").alias("common"), F.sum("total").alias("total"))
+    x = detectors.similar_pairs(chunks_of(spark, d), P)
+    said = lambda c: F.array_join(c, " ")
+    return x.select("project_id", F.least(said("ta"), said("tb")).alias("one"), F.greatest(said("ta"), said("tb")).alias("other"), F.col("common").cast("long").alias("common"), F.col("total").cast("long").alias("total"))
 
 
 @query()
@@ -229,9 +231,15 @@ def w7_pacing_flatness(spark, d):
     return metrics.pacing_flatness(metrics.narrow(chunks_of(spark, d), P)).withColumn("pacing_flatness", F.round("pacing_flatness", 6))
 
 
-@query()
+@query(f"""WITH x AS (SELECT * FROM ({SQL["a10_densities"]}) JOIN ({SQL["w6_keyword_interval"]}) USING (project_id) JOIN ({SQL["w7_pacing_flatness"]}) USING (project_id))
+SELECT project_id, metric_type, value, unit FROM (UNPIVOT x ON {", ".join(metrics.UNITS)} INTO NAME metric_type VALUE value) JOIN (SELECT unnest({lst(metrics.UNITS)}) AS metric_type, unnest({lst(metrics.UNITS.values())}) AS unit) USING (metric_type)""")
 def a14_metrics(spark, d):
-    return metrics.metrics(chunks_of(spark, d), P)
+    return metrics.metrics(chunks_of(spark, d), P).withColumn("value", F.round("value", 6))
+
+
+@query(CH + f"""SELECT project_id, round(sum({" + ".join(f"(length(content) - length(replace(content, '{k}', ''))) / {len(k)}" for k in P.watched)}) * 1000.0 / sum(length(content)), 6) AS knowledge_density FROM ch GROUP BY 1""")
+def a13_knowledge_density(spark, d):
+    return metrics.knowledge_density(chunks_of(spark, d), P.watched).withColumn("knowledge_density", F.round("knowledge_density", 6))
 
 
 @query(MEN + """SELECT project_id, node_type, round(n * 1000.0 / chars, 6) AS density FROM (SELECT project_id, node_type, count(*) AS n FROM me GROUP BY ALL) JOIN (SELECT project_id, sum(length(content)) AS chars FROM ch GROUP BY 1) USING (project_id)""")
@@ -245,12 +253,26 @@ def a15_summary(spark, d):
     return metrics.project_summary(chunks_of(spark, d))
 
 
-@query()
+@query(MEN + f""", n AS (SELECT project_id, count(*) FILTER (node_type = 'person') AS persons, count(*) FILTER (node_type = 'place') AS places, count(*) FILTER (node_type = 'item') AS items FROM ca GROUP BY 1),
+f AS (SELECT project_id, count(*) AS foreshadows FROM ({SQL["a1_foreshadows"]}) GROUP BY 1), i AS (SELECT project_id, count(*) AS issues FROM ({SQL["a3_repeat_terms"]}) GROUP BY 1)
+SELECT s.*, coalesce(persons, 0) AS persons, coalesce(places, 0) AS places, coalesce(items, 0) AS items, coalesce(foreshadows, 0) AS foreshadows, coalesce(issues, 0) AS issues
+FROM ({SQL["a15_summary"]}) s LEFT JOIN n USING (project_id) LEFT JOIN f USING (project_id) LEFT JOIN i USING (project_id)""")
 def a16_dashboard(spark, d):
     c = chunks_of(spark, d)
     return metrics.dashboard(c, mentions.candidates(mentions.mentions(c, P)), detectors.foreshadows(c, P), detectors.repeat_terms(c, P))
 
 
+@query(f"""SELECT project_id, kind AS issue_type, count(*) AS n FROM (SELECT project_id, 'repeat_term' AS kind FROM ({SQL["a3_repeat_terms"]}) UNION ALL SELECT project_id, 'repeated_action' FROM ({SQL["a5_repeated_actions"]})) GROUP BY ALL""")
+def a17_issue_counts(spark, d):
+    c = chunks_of(spark, d)
+    return metrics.issue_counts(detectors.repeat_terms(c, P).unionByName(detectors.repeated_actions(c, P)))
+
+
+@query(CH + f"""SELECT project_id, count(*) FILTER (regexp_matches(content, '{P.flashback}')) AS flashbacks, count(*) AS events FROM ch GROUP BY 1""")
+def a17_flashbacks(spark, d):
+    return metrics.flashbacks(story.timeline_events(chunks_of(spark, d), P))
+
+
 def _near(groups) -> str:
     rows = " UNION ALL ".join(f"SELECT '{g}' AS tier, '{t}' AS t" for g, ts in groups.items() for t in ts)
     return CH + f""", te AS ({rows}),
@@ -258,8 +280,8 @@ oc AS (SELECT project_id, path, chunk_index, chunk_id, tier, t, content, string_
 po AS (SELECT *, unnest(range(1, len(parts))) AS j FROM oc),
 pp AS (SELECT *, list_sum(list_transform(parts[1:j], lambda x: length(x))) + (j - 1) * length(t) + 1 AS p FROM po),
 ar AS (SELECT *, substr(content, CAST(greatest(1, p - 10) AS BIGINT), CAST(least(10, p - 1) AS BIGINT)) || substr(content, CAST(p + length(t) AS BIGINT), 10) AS near FROM pp),
-ru AS (SELECT project_id, path, chunk_index, chunk_id, tier, unnest(regexp_extract_all(near, '{P.near_run}', 1)) AS r FROM ar),
-nm AS (SELECT DISTINCT project_id, path, chunk_index, chunk_id, tier, substr(r, i, n) AS name FROM (SELECT *, unnest(range(1, length(r) - n + 2)) AS i FROM ru, (SELECT unnest([2, 3]) AS n) WHERE length(r) >= n))"""
+ru AS (SELECT project_id, path, chunk_index, chunk_id, tier, t, unnest(regexp_extract_all(near, '{P.near_run}', 1)) AS r FROM ar),
+nm AS (SELECT DISTINCT project_id, path, chunk_index, chunk_id, tier, t, substr(r, i, n) AS name FROM (SELECT *, unnest(range(1, length(r) - n + 2)) AS i FROM ru, (SELECT unnest([2, 3]) AS n) WHERE length(r) >= n))"""
 
 
 @query(_near(P.tiers) + f""", al AS (SELECT project_id, name, tier FROM nm UNION ALL SELECT project_id, '{P.protagonist}', tier FROM oc WHERE contains(content, '{P.protagonist}'))
@@ -268,6 +290,11 @@ def a18_identity_conflicts(spark, d):
     return checks.identity_conflicts(chunks_of(spark, d), P)
 
 
+@query(_near(P.tiers) + f"""SELECT DISTINCT * FROM (SELECT project_id, name, path, chunk_index, t AS term, tier FROM nm UNION ALL SELECT project_id, '{P.protagonist}', path, chunk_index, t, tier FROM oc WHERE contains(content, '{P.protagonist}'))""")
+def a18_identity_evidence(spark, d):
+    return checks.identity_evidence(chunks_of(spark, d), P)
+
+
 @query(_near(P.ranks) + """, f AS (SELECT project_id, name, tier, min(path || lpad(CAST(chunk_index AS VARCHAR), 9, '0')) AS pos0 FROM nm GROUP BY ALL)
 SELECT * FROM (SELECT project_id, name, tier, string_agg(tier, ',') OVER (PARTITION BY project_id, name ORDER BY pos0, tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f) WHERE before IS NOT NULL""")
 def w9_rank_conflicts(spark, d):
@@ -318,18 +345,22 @@ def j5_place_names(spark, d):
     return checks.place_name_anachronisms(chunks_of(spark, d), P.reactions, P)
 
 
-RU = CH + f""", ru AS (SELECT DISTINCT project_id, chunk_id, s, a FROM (SELECT project_id, chunk_id, unnest(regexp_extract_all(content, '{P.prohibition}', 1)) AS s, unnest(regexp_extract_all(content, '{P.prohibition}', 2)) AS a FROM ch))"""
+def _rules(pattern: str, positive: bool, word: str) -> str:
+    return f"SELECT project_id, chunk_id, s, a, {positive} AS positive, s || '{word}' || a AS name FROM (SELECT project_id, chunk_id, unnest(regexp_extract_all(content, '{pattern}', 1)) AS s, unnest(regexp_extract_all(content, '{pattern}', 2)) AS a FROM ch)"
+
 
+RU = CH + f""", ru AS (SELECT DISTINCT * FROM ({_rules(P.prohibition, False, "不能")} UNION ALL {_rules(P.prerequisite, True, "才能")}))"""
 
-@query(RU + """SELECT project_id, chunk_id AS source_chunk_id, s || '不能' || a AS name FROM ru GROUP BY ALL""")
+
+@query(RU + """SELECT project_id, chunk_id AS source_chunk_id, name, positive FROM ru GROUP BY ALL""")
 def f3_rules(spark, d):
-    return story.extract_rules(chunks_of(spark, d), P).where("NOT positive").select("project_id", "source_chunk_id", "name")
+    return story.extract_rules(chunks_of(spark, d), P).select("project_id", "source_chunk_id", "name", "positive")
 
 
-@query(RU + f""", k AS (SELECT DISTINCT project_id, s || '不能' || a AS rule, s, a FROM ru) SELECT k.project_id, rule, chunk_id FROM k JOIN ch ON ch.project_id = k.project_id AND contains(content, s) AND contains(content, a) AND {anyof(P.contradictions)} GROUP BY ALL""")
+@query(RU + f""", k AS (SELECT DISTINCT project_id, name AS rule, s, a FROM ru) SELECT k.project_id, rule, chunk_id FROM k JOIN ch ON ch.project_id = k.project_id AND contains(content, s) AND contains(content, a) AND {anyof(P.contradictions)} GROUP BY ALL""")
 def j3_rule_conflicts(spark, d):
     c = chunks_of(spark, d)
-    return story.rule_conflicts(c, story.extract_rules(c, P).where("NOT positive"), P).select("project_id", "rule", "chunk_id").distinct()
+    return story.rule_conflicts(c, story.extract_rules(c, P), P).select("project_id", "rule", "chunk_id").distinct()
 
 
 @query("""SELECT doc_id, CAST(doc_id AS BIGINT) AS value FROM documents""")
@@ -343,9 +374,11 @@ def f1_zh_number(spark, d):
     return x.select("doc_id", (high + F.coalesce(tx.zh_number(F.when(text == "", "零").otherwise(text)), F.lit(0))).cast("long").alias("value"))
 
 
-@query(CH + f"""SELECT project_id, path, chunk_index, row_number() OVER (PARTITION BY project_id ORDER BY path, chunk_index) AS order_index, regexp_matches(content, '{P.flashback}') AS is_flashback FROM ch""")
+@query(CH + f""", x AS (SELECT project_id, path, chunk_index, row_number() OVER (PARTITION BY project_id ORDER BY path, chunk_index) AS order_index, regexp_matches(content, '{P.flashback}') AS is_flashback,
+regexp_extract(content, '{P.relative}', 0) AS rel, CAST(nullif(regexp_extract(content, '{P.relative}', 1), '') AS BIGINT) AS rel_n, regexp_extract(content, '{P.absolute}', 0) AS era, CAST(nullif(regexp_extract(content, '{P.absolute}', 2), '') AS BIGINT) AS era_n FROM ch)
+SELECT project_id, path, chunk_index, order_index, CASE WHEN era <> '' THEN era ELSE rel END AS time_expression, CASE WHEN era <> '' AND era_n IS NOT NULL THEN era_n WHEN rel <> '' THEN order_index + rel_n END AS estimated_order, is_flashback FROM x""")
 def f2_timeline(spark, d):
-    return story.timeline_events(chunks_of(spark, d), P).select("project_id", "path", "chunk_index", "order_index", "is_flashback")
+    return story.timeline_events(chunks_of(spark, d), P).select("project_id", "path", "chunk_index", "order_index", "time_expression", "estimated_order", "is_flashback")
 
 
 @query(MEN + """, tl AS (SELECT ch.project_id, ch.chunk_id, row_number() OVER (PARTITION BY ch.project_id ORDER BY path, chunk_index) AS o FROM ch),
@@ -387,17 +420,34 @@ def j8_removed(spark, d):
     return versions.removed_chunks(old, new).select("project_id", "path")
 
 
-@query()
+OLD = DOCS.replace("text FROM documents", "text FROM documents WHERE source IS NOT NULL AND doc_id % 11 <> 0")
+NEW = DOCS.replace("text FROM documents", "text || CASE WHEN doc_id % 7 = 0 THEN ' (new)' ELSE '' END AS text FROM documents WHERE source IS NOT NULL AND doc_id % 13 <> 0")
+
+
+@query(f"""WITH gone AS (SELECT project_id, chunk_id FROM ({CH.replace(DOCS, OLD)} SELECT project_id, chunk_id, content FROM ch) o ANTI JOIN ({CH.replace(DOCS, NEW)} SELECT chunk_id, content FROM ch) n USING (chunk_id, content)),
+refs AS (SELECT project_id, 'node' AS kind, name, first_chunk_id AS chunk_id FROM ({MEN.replace(DOCS, OLD)} SELECT * FROM ca) UNION ALL SELECT project_id, 'foreshadow', title, first_chunk_id FROM ({SQL["a1_foreshadows"].replace(DOCS, OLD)})
+ UNION ALL SELECT project_id, 'rule', name, source_chunk_id FROM ({SQL["f3_rules"].replace(DOCS, OLD)})),
+hit AS (SELECT project_id, count(*) FILTER (kind = 'node') AS nodes, count(*) FILTER (kind = 'foreshadow') AS foreshadows, count(*) FILTER (kind = 'rule') AS rules, string_agg(DISTINCT kind || ':' || name, chr(10) ORDER BY kind || ':' || name) AS touched FROM refs SEMI JOIN gone USING (chunk_id) GROUP BY 1)
+SELECT project_id, coalesce(nodes, 0) AS nodes, coalesce(foreshadows, 0) AS foreshadows, coalesce(rules, 0) AS rules, coalesce(touched, '') AS touched, CASE WHEN nodes IS NULL THEN '无影响' ELSE nodes || '/' || foreshadows || '/' || rules END AS summary FROM (SELECT DISTINCT project_id FROM gone) LEFT JOIN hit USING (project_id)""")
 def j9_impact(spark, d):
     old, new = (ms.chunks(x, P) for x in old_new(spark, d))
-    return versions.revision_impact(versions.removed_chunks(old, new), mentions.candidates(mentions.mentions(old, P)), detectors.foreshadows(old, P), story.extract_rules(old, P))
+    made = versions.revision_impact(versions.removed_chunks(old, new), mentions.candidates(mentions.mentions(old, P)), detectors.foreshadows(old, P), story.extract_rules(old, P))
+    return made.withColumn("touched", F.coalesce(F.array_join("touched", "\n"), F.lit("")))
 
 
 @query(f"""WITH s AS (SELECT source AS project_id, doc_id, {STATE} AS st FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 13 <> 0)
-SELECT project_id, count(*) FILTER (st = 'created') AS added, count(*) FILTER (st = 'deleted') AS removed, count(*) FILTER (st = 'modified') AS modified FROM s WHERE st <> 'unchanged' GROUP BY 1""")
+SELECT project_id, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, CAST(st = 'created' AS BIGINT) AS added, CAST(st = 'deleted' AS BIGINT) AS removed, CAST(st = 'modified' AS BIGINT) AS modified,
+CASE st WHEN 'created' THEN '0:added:-:t' WHEN 'deleted' THEN '0:removed:t:-' ELSE '0:modified:t:t' END AS diff FROM s WHERE st <> 'unchanged'""")
 def f7_revisions(spark, d):
     old, new = (x.withColumn("chunk_index", F.lit(0)) for x in old_new(spark, d))
-    return versions.revisions(old, new).groupBy("project_id").agg(*[F.sum(k).alias(k) for k in ("added", "removed", "modified")])
+    line = lambda r: F.concat_ws(":", r["chunk_index"].cast("string"), r["kind"], F.coalesce(r["old_title"], F.lit("-")), F.coalesce(r["new_title"], F.lit("-")))
+    return versions.revisions(old, new).withColumn("diff", F.array_join(F.transform("diff", line), "\n"))
+
+
+@query(f"""SELECT source AS project_id, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, {STATE} AS event, CASE WHEN doc_id % 11 <> 0 THEN sha256(text) END AS old_hash, CASE WHEN doc_id % 13 <> 0 THEN sha256(text || CASE WHEN doc_id % 7 = 0 THEN ' (new)' ELSE '' END) END AS new_hash
+FROM documents WHERE (doc_id % 11 <> 0 OR doc_id % 13 <> 0) AND {STATE} <> 'unchanged'""")
+def f7_scan_log(spark, d):
+    return versions.scan_log(*old_new(spark, d))
 
 
 @query("""SELECT source AS project_id, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, length(CASE WHEN doc_id % 13 <> 0 THEN text || CASE WHEN doc_id % 7 = 0 THEN ' (new)' ELSE '' END ELSE text END) AS chars FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 13 <> 0""")
@@ -406,11 +456,47 @@ def s7_replace(spark, d):
     return ms.replaced(old, new).select("project_id", "path", F.length("text").cast("long").alias("chars"))
 
 
-@query("""SELECT o_orderkey AS source_id, '[冲突] ' || o_orderpriority AS title FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0""")
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS source_id, '[冲突] ' || o_orderpriority AS title, 'high' AS priority FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0
+UNION ALL SELECT project_id || '|' || title, '[伏笔] ' || title, 'medium' FROM ({SQL["a1_foreshadows"]}) WHERE risk_level = 'high'""")
 def j10_tasks(spark, d):
-    x = table(spark, d, "orders").select(F.lit("p").alias("project_id"), F.col("o_orderkey").alias("issue_id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderpriority") == "1-URGENT", "high").otherwise("low").alias("severity"))
-    fores = x.limit(0).select("project_id", F.col("issue_id").alias("foreshadow_id"), "title", F.lit("low").alias("risk_level"))
-    return versions.auto_tasks(x, fores, x.where("issue_id % 3 = 0").select(F.col("issue_id").alias("source_id"))).select("source_id", "title")
+    x = table(spark, d, "orders").select(F.lit("p").alias("project_id"), F.col("o_orderkey").alias("key"), F.col("o_orderkey").cast("string").alias("issue_id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderpriority") == "1-URGENT", "high").otherwise("low").alias("severity"))
+    fores = detectors.foreshadows(chunks_of(spark, d), P).withColumn("foreshadow_id", F.concat("project_id", F.lit("|"), "title"))
+    return versions.auto_tasks(x, fores, x.where("key % 3 = 0").select(F.col("issue_id").alias("source_id"))).select("source_id", "title", "priority")
+
+
+def docs_state(spark, d):
+    return docs_of(spark, d).withColumn("deleted", F.col("path").cast("long") % 5 == 0)
+
+
+@query(CH + """SELECT project_id, path, chunk_index, 'doc ' || path AS document_title FROM ch WHERE CAST(path AS BIGINT) % 5 <> 0""")
+def j1_live_chunks(spark, d):
+    return versions.live_chunks(chunks_of(spark, d), docs_state(spark, d)).select("project_id", "path", "chunk_index", "document_title")
+
+
+@query(MEN + f"""SELECT r.project_id, kind, name, ch.path AS document_path, 'doc ' || ch.path AS document_title, ch.title AS chapter_title, substr(ch.content, 1, 80) AS snippet
+FROM (SELECT project_id, node_type AS kind, name, first_chunk_id FROM ca UNION ALL SELECT project_id, 'foreshadow', title, first_chunk_id FROM ({SQL["a1_foreshadows"]})) r JOIN ch ON ch.chunk_id = r.first_chunk_id WHERE CAST(ch.path AS BIGINT) % 5 <> 0""")
+def j2_evidence(spark, d):
+    c = chunks_of(spark, d)
+    nodes = mentions.candidates(mentions.mentions(c, P)).select("project_id", F.col("node_type").alias("kind"), "name", "first_chunk_id")
+    fores = detectors.foreshadows(c, P).select("project_id", F.lit("foreshadow").alias("kind"), F.col("title").alias("name"), "first_chunk_id")
+    return versions.with_evidence(nodes.unionByName(fores), c, docs_state(spark, d)).drop("first_chunk_id")
+
+
+@query(f"""SELECT project_id, title, mentions, risk_level FROM ({SQL["a1_foreshadows"]}) ORDER BY mentions DESC, title, project_id LIMIT 100""")
+def l2_foreshadows(spark, d):
+    return versions.list_foreshadows(detectors.foreshadows(chunks_of(spark, d), P), 100, "mentions").select("project_id", "title", "mentions", "risk_level")
+
+
+@query("""SELECT o_orderkey AS task_id, o_orderpriority AS title, CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS priority FROM orders
+ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '3-MEDIUM' THEN 1 ELSE 2 END, o_orderkey DESC LIMIT 5000""")
+def l4_tasks(spark, d):
+    x = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderpriority") == "1-URGENT", "high").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").otherwise("low").alias("priority"))
+    return versions.list_tasks(x, 5000, "task_id")
+
+
+@query("""SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 200""")
+def l5_newest(spark, d):
+    return versions.newest(table(spark, d, "events").select("event_id", "event_type", "user_id"), 200, "event_id")
 
 
 @query("""SELECT CAST(doc_id AS BIGINT) AS document_id, quality AS group_id, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path FROM labels JOIN documents USING (doc_id) WHERE doc_id % 13 <> 0 GROUP BY ALL""")
@@ -460,7 +546,7 @@ QS = lambda n: f"""q AS (SELECT item_id AS query_id, array_to_string(string_spli
 
 @query(CH + f""", {QS(2)}, h AS (SELECT query_id, project_id, path, chunk_index FROM ch JOIN q ON contains(lower(content), lower(query)))""" + HITS)
 def f4_search_substring(spark, d):
-    return search.search_substring(chunks_of(spark, d), _queries(spark, d, 2), 5).drop("title", "snippet")
+    return search.search_substring(chunks_of(spark, d), _queries(spark, d, 2), 5).select("query_id", "rank", "project_id", "path", "chunk_index")
 
 
 NORM = lambda x: f"' ' || trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
@@ -469,17 +555,25 @@ NORM = lambda x: f"' ' || trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+'
 @query(CH + f""", {QS(2)}, p AS (SELECT *, {NORM("content")} AS ct, {NORM("title")} AS tt FROM ch), h0 AS (SELECT query_id, project_id, path, chunk_index FROM p JOIN (SELECT *, {NORM("query")} AS qq FROM q) ON contains(ct, qq) OR contains(tt, qq)),
 h AS (SELECT * FROM h0 UNION ALL SELECT query_id, project_id, path, chunk_index FROM ch JOIN q ON contains(lower(content), lower(query)) WHERE query_id NOT IN (SELECT query_id FROM h0))""" + HITS)
 def f5_search_phrase(spark, d):
-    return search.search_phrase(chunks_of(spark, d), _queries(spark, d, 2), 5).drop("title", "snippet")
+    return search.search_phrase(chunks_of(spark, d), _queries(spark, d, 2), 5).select("query_id", "rank", "project_id", "path", "chunk_index")
 
 
-@query(CH + f""", {QS(2)}, h AS (SELECT query_id, project_id, path, chunk_index FROM ch JOIN q ON contains(lower(content), lower(query))), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY path, chunk_index, project_id) AS rank FROM h)
-SELECT q.query_id, count(rank) FILTER (rank <= 5) AS n_hits FROM q LEFT JOIN r USING (query_id) GROUP BY 1""")
+@query(CH + f""", {QS(2)}, h AS (SELECT *, instr(lower(content), lower(query)) AS p FROM ch JOIN q ON contains(lower(content), lower(query))), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, chunk_index, project_id) AS rank FROM h),
+k AS (SELECT *, greatest(1, p - 18) AS a, least(length(content), p + length(query) + 17) AS b FROM r WHERE rank <= 5),
+t AS (SELECT *, regexp_replace(CASE WHEN a > 1 THEN '...' ELSE '' END || substr(content, a, b - a + 1) || CASE WHEN b < length(content) THEN '...' ELSE '' END, '[\\[\\]]', '', 'g') AS said FROM k)
+SELECT q.query_id, '# 上下文包: ' || any_value(q.query) || chr(10) || chr(10) || coalesce(string_agg('## ' || rank || '. ' || title || chr(10) || chr(10) || '来源文件: ' || path || ' (' || (chunk_index + 1) || ', ' || start_offset || '-' || end_offset || ')' || chr(10) || chr(10) || said || chr(10), chr(10) ORDER BY rank), '没有找到相关内容。' || chr(10)) AS markdown,
+count(rank) AS n_hits, coalesce(string_agg(chunk_id, ',' ORDER BY rank), '') AS refs FROM q LEFT JOIN t ON t.query_id = q.query_id GROUP BY 1""")
 def s9_context_pack(spark, d):
     q = _queries(spark, d, 2)
-    return search.context_pack(search.search_substring(chunks_of(spark, d), q, 5), q).drop("markdown")
+    made = search.context_pack(search.search_substring(chunks_of(spark, d), q, 5), q)
+    return made.select("query_id", "markdown", "n_hits", F.coalesce(F.array_join(F.transform("source_refs", lambda r: r["chunk_id"]), ","), F.lit("")).alias("refs"))
 
 
-@query()
+@query(MEN + f""", r AS (SELECT project_id, node_type AS section, -occurrence_count AS o, '- ' || name || ' ×' || occurrence_count AS line FROM ca UNION ALL SELECT project_id, 'foreshadow', -mentions, '- ' || title || ' ' || risk_level FROM ({SQL["a1_foreshadows"]})
+ UNION ALL SELECT project_id, 'issue', 0, '- repeat_term ' || title FROM ({SQL["a3_repeat_terms"]})),
+n AS (SELECT *, row_number() OVER (PARTITION BY project_id, section ORDER BY o, line) AS n FROM r), b AS (SELECT project_id, section, string_agg(line, chr(10) ORDER BY n) AS body FROM n WHERE n <= 1000 GROUP BY ALL),
+t AS (SELECT project_id, string_agg('## ' || section || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY section) AS sections FROM b GROUP BY 1)
+SELECT project_id, '# ' || project_id || chr(10) || chr(10) || documents || ' / ' || chunks || ' / ' || words || chr(10) || chr(10) || coalesce(sections, '') AS markdown FROM ({SQL["a15_summary"]}) LEFT JOIN t USING (project_id)""")
 def s10_report(spark, d):
     c = chunks_of(spark, d)
     return search.project_report(metrics.project_summary(c), mentions.candidates(mentions.mentions(c, P)), detectors.foreshadows(c, P), detectors.repeat_terms(c, P))

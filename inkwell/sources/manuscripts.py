@@ -102,7 +102,7 @@ def replaced(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("project_i
 
 
 def load_knowledge(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Entries of TOML files: pack_name, row_no, term, category, dynasty, rank, note. Blank periods go, terms are distinct per period."""
+    """Entries of TOML files: pack_name, row_no, term, category, dynasty, rank, note. Blank periods go; of a term's entries in a period the first stays (by pack and row)."""
     rows = []
     for p in paths:
         with open(p, "rb") as f:
@@ -110,7 +110,8 @@ def load_knowledge(spark: SparkSession, paths: list[str]) -> DataFrame:
         name = p.rsplit("/", 1)[-1].removesuffix(".toml")
         rows += [(name, i, *(str(e.get(k, "")) for k in ("term", "category", "dynasty", "rank", "note"))) for i, e in enumerate(entries)]
     made = spark.createDataFrame(rows, "pack_name string, row_no int, term string, category string, dynasty string, rank string, note string")
-    return made.where(F.trim("dynasty") != "").dropDuplicates(["dynasty", "term"])
+    first = made.where(F.trim("dynasty") != "").groupBy("dynasty", "term").agg(F.min(F.struct("pack_name", "row_no", "category", "rank", "note")).alias("x"))
+    return first.select("x.pack_name", "x.row_no", "term", "x.category", "dynasty", "x.rank", "x.note")
 
 
 def knowledge_summary(knowledge: DataFrame) -> DataFrame:
