@@ -1,18 +1,18 @@
 """5. Token-ID binary output: length-delimited records with masked checksums, and an offset index beside each file.
 
-A file part-NNNNN.rec is a run of records:
+A file part-NNNNN-A.rec (A: the number of the task's attempt) is a run of records:
 
     length of the payload      8 bytes, little endian
     masked crc32 of these      4 bytes
     payload                    one byte: 2 or 4, the bytes an id takes; then the ids, little endian
     masked crc32 of these      4 bytes
 
-Its index part-NNNNN.idx has 24 bytes a record: key (signed), offset of the record in the file, number of ids; a shuffled
+Its index part-NNNNN-A.idx has 24 bytes a record: key (signed), offset of the record in the file, number of ids; a shuffled
 reader seeks by it. A null key is the least signed 64-bit integer. Files follow each other in ascending key order, rows of
 one key together; the sizes table that write() returns has each file's ids, and so where each file's ids begin.
 
-A task writes its file under a name of its own attempt and renames it when it is whole, so a lost or repeated task leaves
-no half file. Files go to the given folder, which all executors share. Null texts are empty: their record holds the end id
+A task writes its file under a name of its own attempt, and the sizes table names the files of the attempts that ended well.
+So a lost or repeated task breaks none, on any file system; what it leaves behind is named nowhere. Files go to the given folder, which all executors share. Null texts are empty: their record holds the end id
 only. Repeated keys each have a record. An empty table gives no files.
 """
 
@@ -78,13 +78,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int, key: str
         task = TaskContext.get()
         part, out, index = task.partitionId(), None, []
         at = ids = 0
-        name = f"part-{part:05d}"
+        name = f"part-{part:05d}-{task.taskAttemptId()}"
         for batch in batches:
             if out is None:
                 fs, root = _folder(folder)
                 fs.create_dir(root, recursive=True)
-                trial = f"{root}/_{name}-{task.taskAttemptId()}"
-                out = fs.open_output_stream(f"{trial}.rec")
+                out = fs.open_output_stream(f"{root}/{name}.rec")
             for k, count, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 index.append((k, at, count))
                 out.write(frame := framed(payload.as_py()))
@@ -92,10 +91,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int, key: str
                 ids += count
         if out is not None:
             out.close()
-            with fs.open_output_stream(f"{trial}.idx") as f:
+            with fs.open_output_stream(f"{root}/{name}.idx") as f:
                 f.write(np.array(index, "<i8").tobytes())
-            for kind in ("idx", "rec"):
-                fs.move(f"{trial}.{kind}", f"{root}/{name}.{kind}")
             yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{folder}/{name}", "n_records": len(index), "n_ids": ids}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_records", pa.int64()), ("n_ids", pa.int64())]))
 
     return dealt.mapInArrow(step, SIZES)
