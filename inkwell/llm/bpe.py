@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: White space of Unicode, as the splitting patterns' \s has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_SPACE = "\t\n\x0b\x0c\r "
@@ -268,6 +270,8 @@ def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
     """
     out = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
 
+    bounded_batches(docs.sparkSession)
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = fragments(tokenizer)
         for batch in batches:

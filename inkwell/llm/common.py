@@ -44,6 +44,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of 1000 rows instead of Spark's default of 10,000, which a worker that meets long texts may not hold. A setting of the user's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def crc_of_id(col: str = "doc_id"):
     """crc32 of an id's decimal text; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

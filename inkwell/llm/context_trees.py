@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, Packed, Rolling, letters, packed, word_bounds, written
+from .common import SPACES, Packed, Rolling, bounded_batches, letters, packed, word_bounds, written
 
 DEPTH = 5
 #: Entries in one broadcast: 16 bytes each.
@@ -310,6 +310,7 @@ def scored(docs: DataFrame, train: Column, *, key: str = "doc_id", depth: int =
     """
     from itertools import zip_longest
 
+    bounded_batches(docs.sparkSession)
     counts = written(counted(docs, train, depth), "counts")
     grams, words = counts.where("NOT word").select("key", "n"), counts.where("word").select("key", "n")
     ends = docs.where(train).count()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Packed, Rolling, letters, packed, word_bounds, written
+from .common import Packed, Rolling, bounded_batches, letters, packed, word_bounds, written
 
 #: Windows of the benchmark in one broadcast: some 100 bytes each.
 BLOCK = 500_000
@@ -122,6 +122,7 @@ def _scanned(docs: DataFrame, key: str, block) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(key, text, n_words, hit_words: indexes of the words inside found windows, items: ids of the items found, both sorted)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     windows = item_windows(benchmark, window).persist()
     n = windows.count()
     blocks = max(1, -(-n // block))

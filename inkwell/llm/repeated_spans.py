@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FULL, Packed, Rolling, letters, mixed, packed, written
+from .common import FULL, Packed, Rolling, bounded_batches, letters, mixed, packed, written
 
 LENGTH = 400
 
@@ -164,6 +164,7 @@ def cut(docs: DataFrame, *, text: str = "text", length: int = LENGTH, as_text: b
     """docs with kept (binary: the bytes left; as text: without characters that a cut halves), n_bytes, n_removed, n_spans in place of their text."""
     names = [c for c in docs.columns if c != text]
     row = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text].alias("text"))
+    bounded_batches(docs.sparkSession)
     found = written(spans(docs, text=text, length=length), "spans")
     joined = row.withColumn("whole", whole()).join(found, "whole", "left").select("row", "text", "runs")
     out = T.StructType([joined.schema["row"], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans"))])

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, written
+from .common import bounded_batches, packed, written
 
 #: Labelled rows to learn from at most.
 SAMPLE = 20_000
@@ -133,6 +133,7 @@ def learned(rows: DataFrame, *, sample: int = SAMPLE, trees: int = 12, depth: in
 
 def scored(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> tuple[DataFrame, Rules]:
     """((key, score), the rules). train: a condition on the key that says which rows' labels may be learned from."""
+    bounded_batches(docs.sparkSession)
     stats = written(statistics(docs, key=key), "rules-stats")
     marks = labels.where(train & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__labelled")).agg(F.max(label).alias("label"))
     rows = stats.join(marks, stats[key] == marks["__labelled"]).drop("__labelled")
