@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, context_trees, decontaminate, html_main, near_duplicates, quality_rules, records, repeated_spans, rule_classifier
+from . import bpe, chat, context_trees, decontaminate, html_main, lines, middle, near_duplicates, quality_rules, records, repeated_spans, rule_classifier, spelling
 from .common import crc_of_id, read_table, shared_dir
 from .sql import SQL
 
@@ -78,7 +78,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classified(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_decontaminate, op4_context_trees, op5_token_records, op6_html, op7_repeated_spans, op8_classifier, op9_chat, op10_near_duplicates)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(middle.restored(middle.transformed(read_table(spark, sf_dir, "documents"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lines.without_repeats(read_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_decontaminate, op4_context_trees, op5_token_records, op6_html, op7_repeated_spans, op8_classifier, op9_chat, op10_near_duplicates, op11_fill_in_middle, op12_spelling_variants, op13_line_dedup)}
 
 
 def queries() -> dict:

@@ -30,4 +30,41 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hw ON hw.k = d.k LEFT JOIN hi ON hi.k = d.k
 """
 
-SQL = {"op2_quality_rules": OP2, "op3_decontaminate": OP3}
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+  CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(l[1:a], '') AS x, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || x || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+# crc32 by its table, made by rule from the polynomial 0xEDB88320; near words by common deletions
+OP12 = r"""
+WITH RECURSIVE tb AS (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+g AS (SELECT w, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x, count(*) AS n FROM r GROUP BY doc_id, w),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))), lambda c, b: xor(c >> 8, tb[(xor(c, b) & 255) + 1]))) AS h FROM g, tb),
+e AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS w, n FROM h),
+v AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+l AS (SELECT DISTINCT w, n, i, w[1:i] || w[i + 2:] AS s FROM (SELECT w, n, unnest(range(length(w))) AS i FROM v)),
+q AS (SELECT a.w AS w, b.w AS o, b.n AS m FROM l a JOIN l b ON a.i = b.i AND a.s = b.s AND a.w <> b.w AND length(a.w) = length(b.w)
+  UNION SELECT l.w, v.w, v.n FROM l JOIN v ON v.w = l.s UNION SELECT v.w, l.w, l.n FROM l JOIN v ON v.w = l.s),
+k AS (SELECT w, count(*) AS n_near, max(m) AS m FROM q GROUP BY w),
+f AS (SELECT v.w AS word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN (SELECT min(o) FROM q WHERE q.w = v.w AND q.m = k.m) END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN k ON k.w = v.w),
+t AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT t.word, f.form, depth + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(root, depth) AS root FROM t GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON z.word = f.word
+"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+s AS (SELECT k, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+y AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS y FROM s),
+c AS (SELECT y, max(doc_id) AS holder FROM y WHERE length(y) >= 20 GROUP BY y HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INT)) >= 3),
+m AS (SELECT k, doc_id, i, line, holder IS NOT NULL AND doc_id IS DISTINCT FROM holder AS lost FROM y LEFT JOIN c ON c.y = y.y)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256 FROM m GROUP BY k
+"""
+
+SQL = {"op2_quality_rules": OP2, "op3_decontaminate": OP3, "op11_fill_in_middle": OP11, "op12_spelling_variants": OP12, "op13_line_dedup": OP13}
