@@ -56,8 +56,9 @@ def positions(x: Column | str, term: str) -> Column:
 
 
 def snippet(x: Column | str, term: Column, width: int = 18, marked: bool = False) -> Column:
-    """width characters on either side of the first occurrence; without one, the first 60. marked: [term], and ... where text is cut."""
-    c, at = col(x), F.instr(F.lower(col(x)), F.lower(term)) if marked else F.instr(col(x), term)
+    """width characters on either side of the first occurrence; without one, the first 60. marked: [term], whatever the case of A-Z, and ... where text is cut."""
+    fold = lambda y: F.translate(y, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # noqa: E731  keeps every letter's place
+    c, at = col(x), F.instr(fold(col(x)), fold(term)) if marked else F.instr(col(x), term)
     start = F.greatest(F.lit(1), at - width)
     end = F.least(F.length(c), at + F.length(term) - 1 + width)
     if not marked:
@@ -66,17 +67,16 @@ def snippet(x: Column | str, term: Column, width: int = 18, marked: bool = False
     return F.when(at == 0, F.substring(c, 1, 60)).otherwise(F.concat(F.when(start > 1, "...").otherwise(""), hit, F.when(end < F.length(c), "...").otherwise("")))
 
 
-def nearby_names(x: Column | str, term: str, run: str, width: int = 10) -> Column:
-    """2- and 3-letter pieces of the runs within width characters of the term's occurrences, distinct per occurrence."""
+def near_text(x: Column | str, term: str, at: Column, width: int = 10) -> Column:
+    """width characters on either side of the term at this place, without the term."""
     c = col(x)
+    return F.concat(F.substring(c, F.greatest(F.lit(1), at - width), F.least(F.lit(width), at - 1)), F.substring(c, at + len(term), F.lit(width)))
 
-    def around(p: Column) -> Column:
-        near = F.concat(F.substring(c, F.greatest(F.lit(1), p - width), F.least(F.lit(width), p - 1)), F.substring(c, p + len(term), F.lit(width)))
-        runs = F.regexp_extract_all(near, F.lit(run), 1)
-        cut = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.concat(cut(r, 2), cut(r, 3)))))
 
-    return F.flatten(F.transform(positions(c, term), around))
+def pieces(x: Column | str, run: str) -> Column:
+    """2- and 3-letter pieces of the runs in x, distinct."""
+    cut = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(col(x), F.lit(run), 1), lambda r: F.concat(cut(r, 2), cut(r, 3)))))
 
 
 def zh_number(x: Column | str) -> Column:

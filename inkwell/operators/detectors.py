@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..components import components
 from ..functions.text import any_of, occurrences, present, run_tokens, sentences, snippet
+from ..messages import MESSAGES, MORE_PHRASES, issue, said
 from ..packs import Pack
+from ..stored import stored
+from .order import numbered, segmented
 
 EVIDENCE = "array<struct<chunk_id:string,chapter_title:string,document_path:string,snippet:string,match_count:int>>"
 
@@ -31,10 +35,6 @@ def gathered(first: int | None = None) -> Column:
     return F.transform(F.slice(rows, 1, first) if first else rows, lambda r: r["e"])
 
 
-def issue(kind: str, severity: Column | str, title: Column, description: Column) -> list[Column]:
-    return [F.lit(kind).alias("issue_type"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), title.alias("title"), description.alias("description")]
-
-
 def foreshadows(chunks: DataFrame, pack: Pack) -> DataFrame:
     said = chunks.select("project_id", "path", "chunk_index", "chunk_id", F.explode(sentences("content", pack.delimiters)).alias("s")).where((F.length("s") >= 8) & any_of("s", pack.markers))
     made = said.groupBy("project_id", F.substring("s", 1, 28).alias("title")).agg(
@@ -48,27 +48,41 @@ def foreshadows(chunks: DataFrame, pack: Pack) -> DataFrame:
 def attribute_conflicts(chunks: DataFrame, pack: Pack, pattern: str | None = None) -> DataFrame:
     """Names to which the text gives two values or more of an attribute."""
     p = F.lit(pattern or pack.attribute)
-    hits = chunks.select("project_id", "path", "chunk_index", "chunk_id", "title", F.substring("content", 1, 80).alias("snip"), F.explode(F.arrays_zip(F.regexp_extract_all("content", p, 1).alias("name"), F.regexp_extract_all("content", p, 2).alias("value"))).alias("x"))
+    hits = chunks.select("project_id", "path", "chunk_index", "chunk_id", "title", F.substring("content", 1, 100).alias("snip"), F.explode(F.arrays_zip(F.regexp_extract_all("content", p, 1).alias("name"), F.regexp_extract_all("content", p, 2).alias("value"))).alias("x"))
     one = hits.groupBy("project_id", F.col("x.name").alias("name"), F.col("x.value").alias("value")).agg(F.min(F.struct("path", "chunk_index", F.struct("chunk_id", F.col("title").alias("chapter_title"), F.col("path").alias("document_path"), F.col("snip").alias("snippet"), F.lit(None).cast("int").alias("match_count")).alias("e"))).alias("first"))
     made = one.groupBy("project_id", "name").agg(F.array_sort(F.collect_list(F.struct("value", "first.e"))).alias("v")).where(F.size("v") >= 2)
-    names = F.array_join(F.transform("v", lambda x: x["value"]), "、")
-    return made.select("project_id", *issue("attribute_conflict", "high", F.concat(F.col("name"), F.lit("：外貌冲突")), names), F.transform("v", lambda x: x["e"]).alias("evidence"))
+    return made.select("project_id", *issue("character_attribute_conflict", title=(F.col("name"),), description=(F.col("name"),)), F.transform("v", lambda x: x["e"]).alias("evidence"))
+
 
+#: Terms, or verbs, that make an issue stand in so many chunks at least.
+LEAST_TERMS, LEAST_ACTIONS = 3, 4
+#: Evidence of a repeated term: its first chunks.
+EVIDENCE_OF_TERM = 5
 
-def _by_term(chunks: DataFrame, terms: tuple[str, ...], least: int, kind: str, cap: int | None, piece) -> DataFrame:
+
+def term_hits(chunks: DataFrame, terms: tuple[str, ...], piece) -> DataFrame:
+    """(project_id, term, evidence) of each chunk that holds a term."""
     hits = chunks.select("project_id", "path", "chunk_index", "chunk_id", "title", "content", F.explode(present("content", terms)).alias("term"))
-    hits = hits.select("project_id", "term", evidence(piece(F.col("content"), F.col("term"))).alias("evidence"))
-    made = hits.groupBy("project_id", "term").agg(F.count("*").alias("n"), gathered(cap).alias("evidence")).where(F.col("n") >= least)
-    return made.select("project_id", *issue(kind, "low", F.col("term"), F.format_string("%s: %d", "term", "n")), "evidence")
+    return hits.select("project_id", "term", evidence(piece(F.col("content"), F.col("term"))).alias("evidence"))
+
 
+def around_term(c: Column, t: Column) -> Column:
+    return F.substring(c, F.greatest(F.lit(1), F.instr(c, t) - 10), F.least(F.instr(c, t) - 1, F.lit(10)) + F.length(t) + 15)
 
-def repeat_terms(chunks: DataFrame, pack: Pack, least: int = 3) -> DataFrame:
-    return _by_term(chunks, pack.watched, least, "repeat_term", 5, lambda c, t: snippet(c, t))
 
+def term_issues(made: DataFrame) -> DataFrame:
+    """Issues of repeated terms from (project_id, term, evidence)."""
+    return made.select("project_id", *issue("repeat_expression", title=(F.col("term"),), description=(F.col("term"),)), "evidence")
 
-def repeated_actions(chunks: DataFrame, pack: Pack, least: int = 4) -> DataFrame:
-    around = lambda c, t: F.substring(c, F.greatest(F.lit(1), F.instr(c, t) - 10), F.least(F.instr(c, t) - 1, F.lit(10)) + F.length(t) + 15)
-    return _by_term(chunks, pack.verbs, least, "repeated_action", None, around)
+
+def repeat_terms(chunks: DataFrame, pack: Pack, least: int = LEAST_TERMS) -> DataFrame:
+    hits = term_hits(chunks, pack.watched, snippet)
+    return term_issues(hits.groupBy("project_id", "term").agg(F.count("*").alias("n"), gathered(EVIDENCE_OF_TERM).alias("evidence")).where(F.col("n") >= least))
+
+
+def repeated_actions(chunks: DataFrame, pack: Pack, least: int = LEAST_ACTIONS) -> DataFrame:
+    made = term_hits(chunks, pack.verbs, around_term).groupBy("project_id", "term").agg(F.count("*").alias("n"), gathered().alias("evidence")).where(F.col("n") >= least)
+    return made.select("project_id", *issue("action", title=(F.col("term"),), description=(F.col("term"), F.col("n"))), "evidence")
 
 
 def top_phrases(chunks: DataFrame, least: int = 5, n: tuple[int, int] = (4, 10), top: int = 15, delimiters: str = "[。！？\n]") -> DataFrame:
@@ -97,17 +111,19 @@ def high_freq_phrases(chunks: DataFrame, pack: Pack, least: int = 5, n: tuple[in
     """One issue per project: its leading phrase, how many others there are, the first five chunks that hold it."""
     best = top_phrases(chunks, least, n, top, pack.delimiters).groupBy("project_id").agg(F.min_by("phrase", "rank").alias("leader"), F.max("n_chunks").alias("n"), (F.count("*") - 1).alias("others"))
     clean = F.exists(F.transform(sentences("content", pack.delimiters), lambda s: F.regexp_replace(s, r"[^\p{IsAlphabetic}\p{N}]+", "")), lambda s: F.contains(s, F.col("leader")))
-    hits = chunks.join(best, "project_id").where(clean).select("project_id", "leader", "n", "others", evidence(snippet("content", F.col("leader"))).alias("evidence"))
+    hits = chunks.join(best, "project_id").where(clean).select("project_id", "leader", "n", "others", evidence(F.substring("content", 1, 100), F.col("n")).alias("evidence"))
     made = hits.groupBy("project_id", "leader", "n", "others").agg(gathered(5).alias("evidence"))
-    return made.select("project_id", *issue("high_freq_expression", "low", F.col("leader"), F.format_string("%d / %d", "n", "others")), "evidence")
+    text = F.concat(said(MESSAGES["expression"].description, (F.col("leader"), F.col("n"))), F.when(F.col("others") > 0, said(MORE_PHRASES, (F.col("others"),))).otherwise(""))
+    return made.select("project_id", *issue("expression", description=text), "evidence")
 
 
 def dialogue_patterns(chunks: DataFrame, pack: Pack, least: int = 6) -> DataFrame:
     led = lambda g: F.col("content").rlike(r"[\p{IsAlphabetic}\p{N}][\s\S]{0,7}" + re.escape(g) + pack.speech)
     found = F.filter(F.array(*[F.when(led(g), F.lit(g)) for g in pack.guides]), lambda x: x.isNotNull())
-    hits = chunks.select("project_id", "path", "chunk_index", "chunk_id", "title", F.substring("content", 1, 80).alias("snip"), F.explode(found).alias("guide")).select("project_id", "guide", evidence(F.col("snip")).alias("evidence"))
-    made = hits.groupBy("project_id", "guide").agg(F.count("*").alias("n"), gathered(5).alias("evidence")).where(F.col("n") >= least)
-    return made.select("project_id", *issue("dialogue_pattern", "low", F.concat(F.lit("某某"), "guide"), F.col("n").cast("string")), F.transform("evidence", lambda e: e.withField("match_count", F.lit(None).cast("int"))).alias("evidence"), F.col("n").alias("match_count"))
+    hits = chunks.select("project_id", "path", "chunk_index", "chunk_id", "title", F.explode(found).alias("guide")).withColumn("pattern", F.concat(F.lit("某某"), "guide"))
+    made = hits.select("project_id", "pattern", evidence(F.col("pattern")).alias("evidence")).groupBy("project_id", "pattern").agg(F.count("*").alias("n"), gathered(5).alias("evidence")).where(F.col("n") >= least)
+    counted = F.transform("evidence", lambda e: e.withField("match_count", F.col("n").cast("int")))
+    return made.select("project_id", *issue("dialogue", description=(F.col("pattern"), F.col("n")), subject=F.col("pattern")), counted.alias("evidence"), F.col("n").alias("match_count"))
 
 
 def outside_quotes(x: str, quotes: tuple[str, str]) -> Column:
@@ -127,7 +143,8 @@ def psych_counts(chunks: DataFrame, pack: Pack) -> DataFrame:
 
 def psych_density(chunks: DataFrame, pack: Pack, least: float = 0.04) -> DataFrame:
     x = psych_counts(chunks, pack).where(F.col("hits") / F.col("chars") >= least)
-    return x.select("project_id", *issue("psych_density", "info", F.lit("心理描写密度"), F.format_string("%.1f%%", F.col("hits") * 100.0 / F.col("chars"))), F.array(evidence(F.substring("content", 1, 150), F.col("hits"))["e"]).alias("evidence"))
+    numbers = (F.col("hits") / F.col("chars") * 100.0, F.col("hits"), F.col("chars"), F.lit(f"{least * 100:g}"))
+    return x.select("project_id", *issue("psych_density", description=numbers, subject=F.col("chunk_id")), F.array(evidence(F.substring("content", 1, 150), F.col("hits"))["e"]).alias("evidence"))
 
 
 def paragraphs(chunks: DataFrame, pack: Pack, least_bytes: int = 20) -> DataFrame:
@@ -136,90 +153,98 @@ def paragraphs(chunks: DataFrame, pack: Pack, least_bytes: int = 20) -> DataFram
     return s.withColumn("tokens", F.array_sort(run_tokens("s"))).withColumn("set_id", F.xxhash64("project_id", "tokens")).where(F.size("tokens") > 0)
 
 
-def similar_pairs(chunks: DataFrame, pack: Pack, t: float = 0.6) -> DataFrame:
-    """(project_id, a, b) of distinct token sets with Jaccard similarity of at least t. A prefix-filter join: sets that are similar share one of their rarest tokens."""
-    sets = paragraphs(chunks, pack).groupBy("project_id", "set_id").agg(F.first("tokens").alias("tokens"))
+#: Sets that hold a token, in one part of them; those of more common tokens meet as pairs of such parts.
+BLOCK = 2000
+
+
+def similar_pairs(chunks: DataFrame, pack: Pack, t: float = 0.6, block: int = BLOCK) -> DataFrame:
+    """(project_id, a, b, common, total, ta, tb) of distinct token sets with Jaccard similarity of at least t.
+
+    A prefix-filter join: sets that are similar share one of their rarest tokens. Where they meet, their sizes and the places of the
+    token in both bound what they can have in common, so few pairs leave the join. The sets of a common token are dealt into parts,
+    and each two parts meet in a group of their own, so no task holds more than two parts however many sets share a token.
+    """
+    sets = stored(paragraphs(chunks, pack).groupBy("project_id", "set_id").agg(F.first("tokens").alias("tokens")))
     tokens = sets.select("project_id", "set_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rare = tokens.groupBy("project_id", "token").agg(F.count("*").alias("f"))
     place = W.partitionBy("project_id", "set_id").orderBy("f", "token")
-    prefix = tokens.join(rare, ["project_id", "token"]).withColumn("i", F.row_number().over(place)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + 1).select("project_id", "token", "set_id", "n")
-    a, b = (prefix.select("project_id", "token", F.col("set_id").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    pairs = a.join(b, ["project_id", "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9)).select("project_id", "a", "b").distinct()
+    prefix = tokens.join(rare, ["project_id", "token"]).withColumn("i", F.row_number().over(place)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + 1)
+    prefix = prefix.withColumn("parts", F.ceil(F.col("f") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    a = prefix.select("project_id", "token", F.col("part").alias("pa"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("pb"), F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = prefix.select("project_id", "token", F.explode(F.sequence(F.lit(0), "part")).alias("pa"), F.col("part").alias("pb"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    most = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # what they can have in common
+    fits = (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9) & (most >= F.lit(t) * (F.col("na") + F.col("nb") - most) - 1e-9)
+    met = a.join(b, ["project_id", "token", "pa", "pb"]).where(((F.col("pa") < F.col("pb")) | (F.col("a") < F.col("b"))) & fits)
+    pairs = met.select("project_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = pairs.join(sets.select("project_id", F.col("set_id").alias("a"), F.col("tokens").alias("ta")), ["project_id", "a"]).join(sets.select("project_id", F.col("set_id").alias("b"), F.col("tokens").alias("tb")), ["project_id", "b"])
     both = F.size(F.array_intersect("ta", "tb"))
     return full.withColumn("common", both).where(F.col("common") >= F.lit(t) * (F.size("ta") + F.size("tb") - F.col("common")) - 1e-9).select("project_id", "a", "b", "common", (F.size("ta") + F.size("tb") - F.col("common")).alias("total"), "ta", "tb")
 
 
-def _shared(spark) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives a lost executor; removed when the session ends."""
-    spark = df.sparkSession
-    path = f"{_shared(spark)}/{uuid.uuid4().hex}"
-    made = spark._jvm.org.apache.hadoop.fs.Path(path)
-    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(project_id, set_id, component) by least labels."""
-    edges = stored(pairs.select("project_id", "a", "b").union(pairs.select("project_id", "b", "a")))
-    labels = stored(edges.groupBy("project_id", F.col("a").alias("set_id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
-        near = edges.join(labels.select("project_id", F.col("set_id").alias("b"), "component"), ["project_id", "b"]).groupBy("project_id", F.col("a").alias("set_id")).agg(F.min("component").alias("near"))
-        new = stored(labels.join(near, ["project_id", "set_id"]).select("project_id", "set_id", F.col("component").alias("old"), F.least("component", "near").alias("component")))
-        if new.where("old != component").limit(1).count() == 0:
-            return new.drop("old")
-        labels = new.drop("old")
+GROUPS = "project_id string, component long, path string, chunk_index long, sentence_no int, group_no long"
 
 
 def similar_groups(chunks: DataFrame, pack: Pack, t: float = 0.6, most: int = 5) -> DataFrame:
-    """Groups in canonical order: a paragraph that is in no group begins one and takes the next similar ones that are in none, up to five; groups of two or more are issues."""
-    rows = paragraphs(chunks, pack)
-    links = stored(similar_pairs(chunks, pack, t))
-    label = components(links)
-    marked = rows.join(label, ["project_id", "set_id"], "left").withColumn("component", F.coalesce("component", "set_id"))
-    sizes = marked.groupBy("project_id", "component").agg(F.count("*").alias("n")).where("n > 1")
-    near = links.select("project_id", "a", "b").union(links.select("project_id", "b", "a")).groupBy("project_id", F.col("a").alias("set_id")).agg(F.collect_list("b").alias("near"))
-    live = marked.join(sizes, ["project_id", "component"]).join(near, ["project_id", "set_id"], "left").select("project_id", "component", "path", "chunk_index", "sentence_no", "set_id", "near")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["path", "chunk_index", "sentence_no"]).reset_index(drop=True)
-        group, at = [-1] * len(pdf), 0
-        places: dict[int, list[int]] = {}
-        for i, s in enumerate(pdf["set_id"]):
-            places.setdefault(s, []).append(i)
-        for i in range(len(pdf)):
-            if group[i] >= 0:
-                continue
-            near = pdf["near"][i]
-            friends = sorted(j for s in {pdf["set_id"][i], *([] if near is None else near)} for j in places.get(s, ()) if j > i and group[j] < 0)[: most - 1]
-            if friends:
-                for j in (i, *friends):
-                    group[j] = at
-                at += 1
-        pdf["group_no"] = group
-        return pdf.loc[pdf["group_no"] >= 0, ["project_id", "component", "path", "chunk_index", "sentence_no", "group_no"]]
-
-    return live.groupBy("project_id", "component").applyInPandas(greedy, "project_id string, component long, path string, chunk_index long, sentence_no int, group_no int")
+    """Groups in canonical order: a paragraph that is in no group begins one and takes the next similar ones that are in none, up to five; groups of two or more are issues.
+
+    Read forwards: a paragraph joins the earliest group that has room and whose first paragraph is like it; else it begins one. A
+    set of tokens never has two groups with room, so that much is all there is to remember. Paragraphs that are like their copies
+    only, however many they are, are counted off. All others pass a task in order, component by component (each choice depends on
+    those before it): it holds the sets and links of one component, never its paragraphs.
+    """
+    rows = stored(paragraphs(chunks, pack).select("project_id", "path", "chunk_index", "sentence_no", "set_id"))
+    links = stored(similar_pairs(chunks, pack, t).select("project_id", "a", "b"))
+    node = lambda c: F.struct("project_id", F.col(c).alias("set_id"))
+    label = components(links.select(node("a").alias("a"), node("b").alias("b"))).select("node.project_id", "node.set_id", F.col("class.set_id").alias("component"))
+    alone = segmented(rows.join(label, ["project_id", "set_id"], "left_anti").withColumnRenamed("project_id", "owner").select(F.concat_ws("|", F.col("set_id").cast("string"), "owner").alias("project_id"), "path", (F.col("chunk_index") * 4_294_967_296 + F.col("sentence_no")).alias("chunk_index"), F.col("chunk_index").alias("chunk"), "sentence_no", "set_id", "owner"))
+    counted = numbered(alone).withColumn("group_no", F.floor((F.col("n") - 1) / most))
+    sizes = counted.groupBy("project_id", "group_no").agg(F.count("*").alias("size")).where("size > 1").drop("size")
+    counted = counted.join(sizes, ["project_id", "group_no"]).select(F.col("owner").alias("project_id"), F.col("set_id").alias("component"), "path", F.col("chunk").alias("chunk_index"), "sentence_no", F.col("group_no").cast("long").alias("group_no"))
+
+    near = links.union(links.select("project_id", "b", "a")).join(label.withColumnRenamed("set_id", "a"), ["project_id", "a"])
+    said = near.select("project_id", "component", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("chunk_index"), F.lit(None).cast("int").alias("sentence_no"), F.col("a").alias("set_id"), F.col("b").alias("other"))
+    mixed = rows.join(label, ["project_id", "set_id"]).select("project_id", "component", "path", "chunk_index", "sentence_no", "set_id", F.lit(None).cast("long").alias("other"))
+    dealt = said.unionByName(mixed).withColumn("first", F.col("other").isNull()).repartition("project_id", "component").sortWithinPartitions("project_id", "component", "first", "path", "chunk_index", "sentence_no")
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, near, live, begun = None, {}, {}, 0  # live: of each set the group with room that one of its paragraphs began, and the room
+        for batch in batches:
+            c = batch.to_pydict()
+            group = []
+            for project, component, s, other in zip(c["project_id"], c["component"], c["set_id"], c["other"], strict=True):
+                if (project, component) != now:
+                    now, near, live, begun = (project, component), {}, {}, 0
+                if other is not None:
+                    near.setdefault(s, []).append(other)
+                    group.append(None)
+                    continue
+                first = min((live[x][0], x) for x in (s, *near.get(s, ())) if x in live) if any(x in live for x in (s, *near.get(s, ()))) else None
+                if first is None:
+                    live[s] = (begun, most - 1)
+                    group.append(begun)
+                    begun += 1
+                else:
+                    no, x = first
+                    group.append(no)
+                    if live[x][1] == 1:
+                        del live[x]
+                    else:
+                        live[x] = (no, live[x][1] - 1)
+            keep = [i for i, g in enumerate(group) if g is not None]
+            some = batch.take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(some.column(x) for x in ("project_id", "component", "path", "chunk_index", "sentence_no")), pa.array([group[i] for i in keep], pa.int64())], names=["project_id", "component", "path", "chunk_index", "sentence_no", "group_no"])
+
+    taken = stored(dealt.mapInArrow(greedy, GROUPS))
+    sizes = taken.groupBy("project_id", "component", "group_no").agg(F.count("*").alias("size")).where("size > 1").drop("size")
+    return counted.unionByName(taken.join(sizes, ["project_id", "component", "group_no"]).select(*counted.columns))
 
 
 def similar_paragraphs(chunks: DataFrame, pack: Pack) -> DataFrame:
     rows = paragraphs(chunks, pack).select("project_id", "path", "chunk_index", "chunk_id", "title", "sentence_no", F.substring("s", 1, 120).alias("s"))
     hits = similar_groups(chunks, pack).join(rows, ["project_id", "path", "chunk_index", "sentence_no"])
-    made = hits.select("project_id", "component", "group_no", evidence(F.col("s")).alias("evidence")).groupBy("project_id", "component", "group_no").agg(gathered().alias("evidence"))
-    return made.select("project_id", *issue("similar_paragraph", "low", F.lit("相似段落"), F.size("evidence").cast("string")), "evidence")
+    made = hits.select("project_id", "component", "group_no", evidence(F.col("s")).alias("evidence")).groupBy("project_id", "component", "group_no").agg(gathered().alias("evidence"))  # five at most
+    first = F.concat_ws("|", F.col("evidence")[0]["chunk_id"], F.md5(F.col("evidence")[0]["snippet"]))
+    return made.select("project_id", *issue("paragraph", description=(F.size("evidence"),), subject=first), "evidence")
 
 
 #: The repeat engine; add a function of (chunks, pack) to extend it.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import snippet
-from .detectors import stored
+from ..stored import stored
 
 
 def phrase(x: Column | str) -> Column:
@@ -34,13 +34,17 @@ def _hits(x: DataFrame, limit: int) -> DataFrame:
     return x.select("query_id", "rank", *[c for c in x.columns if c not in ("query_id", "rank")])
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
-    n = max(1, -(-queries.count() // BLOCK))
+def _blocks(queries: DataFrame, block: int) -> list[DataFrame]:
+    n = max(1, -(-queries.count() // block))
     return [queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
 
 
-def _matched(chunks: DataFrame, queries: DataFrame, said: Column, wanted: Column) -> DataFrame:
-    """query_id, query and chunk wherever wanted (of a query) stands in said (of a chunk); empty ones stand nowhere.
+#: Lower-cases ASCII letters alone.
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def matched(chunks: DataFrame, queries: DataFrame, said: Column, wanted: Column, *, fold: bool = True, block: int = BLOCK) -> DataFrame:
+    """query_id, query and chunk wherever wanted (of a query) stands in said (of a chunk); empty ones stand nowhere. fold: A-Z match a-z.
 
     One pass over the chunks finds all queries of a block: they form an automaton that reads each text once, however many
     queries there are.
@@ -49,11 +53,12 @@ def _matched(chunks: DataFrame, queries: DataFrame, said: Column, wanted: Column
     rows = chunks.select(*names, said.alias("__said"))
     schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("nos", T.ArrayType(T.IntegerType()))])
     spark, out = chunks.sparkSession, None
-    for part in _blocks(queries):
+    table = FOLD if fold else {}
+    for part in _blocks(queries, block):
         asked = part.select("query_id", "query", wanted.alias("wanted")).where("wanted != ''").collect()
         places: dict[str, list[int]] = {}
         for no, r in enumerate(asked):
-            places.setdefault(r.wanted, []).append(no)
+            places.setdefault(r.wanted.translate(table), []).append(no)
         known = spark.sparkContext.broadcast(places)
 
         def step(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
@@ -64,7 +69,8 @@ def _matched(chunks: DataFrame, queries: DataFrame, said: Column, wanted: Column
                 automaton.add_word(word, nos)
             automaton.make_automaton()
             for batch in batches:
-                found = [sorted({n for _, nos in automaton.iter(t) for n in nos}) if t and known.value else [] for t in batch.column(len(names)).to_pylist()]
+                texts = (t.translate(table) if t and table else t for t in batch.column(len(names)).to_pylist())
+                found = [sorted({n for _, nos in automaton.iter(t) for n in nos}) if t and known.value else [] for t in texts]
                 some = [i for i, x in enumerate(found) if x]
                 kept = batch.take(pa.array(some, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array([found[i] for i in some], pa.list_(pa.int32()))], names=schema.names)
@@ -76,14 +82,14 @@ def _matched(chunks: DataFrame, queries: DataFrame, said: Column, wanted: Column
 
 
 def search_substring(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Literal, case-insensitive; blank queries find nothing. queries: query_id, query."""
-    return _hits(_matched(chunks, queries.where(F.trim("query") != ""), F.lower("content"), F.lower("query")), limit)
+    """Literal; of letters A-Z alone the case doesn't matter; blank queries find nothing. queries: query_id, query."""
+    return _hits(matched(chunks, queries.where(F.trim("query") != ""), F.col("content"), F.col("query")), limit)
 
 
 def search_phrase(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """Whole words in a row, in title or content; queries that find nothing are searched as substrings."""
     asked = queries.where(F.trim(phrase("query")) != "")
-    found = stored(_hits(_matched(chunks, asked, F.concat(phrase("content"), F.lit("\u0000"), phrase("title")), phrase("query")), limit))
+    found = stored(_hits(matched(chunks, asked, F.concat(phrase("content"), F.lit("\u0000"), phrase("title")), phrase("query")), limit))
     rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     return found.unionByName(search_substring(chunks, rest, limit))
 

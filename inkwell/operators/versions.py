@@ -96,7 +96,7 @@ def upsert(old: DataFrame, batch: DataFrame, key: list[str], keep: tuple[str, ..
     return a.join(b, key, "full_outer").select(*key, *[one(c).alias(c) for c in names])
 
 
-STATUSES = ("candidate", "confirmed", "false_positive", "intentional", "deferred", "discarded", "open", "resolved")
+STATUSES = ("candidate", "active", "confirmed", "false_positive", "intentional", "deferred", "discarded", "open", "resolved")
 
 
 def apply_status(table: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:

@@ -49,6 +49,8 @@ class Pack:
     conflict: tuple[str, ...] = ()
     upgrade: tuple[str, ...] = ()
     weights: dict[str, float] = field(default_factory=dict)
+    #: Modern words that are checked for besides, but not counted in the metric.
+    modern_more: tuple[str, ...] = ()
     #: What stands between a speaker's verb and the words said.
     speech: str = "[：:]"
 
@@ -89,7 +91,8 @@ ZH = Pack(
     power_high=("金丹", "元婴", "化神", "大乘", "渡劫", "大圆满", "巅峰"),
     power_low=("炼气", "筑基", "开光", "融合", "后天", "先天"),
     streak=("打脸", "震惊", "碾压", "逆袭", "翻盘", "爆"),
-    modern=("手机", "电脑", "电视", "网络", "微信", "互联网", "数据", "芯片", "程序", "代码", "AI", "算法", "蓝牙", "WiFi"),
+    modern=("手机", "电脑", "电视", "网络", "微信", "互联网", "数据", "芯片", "程序", "代码", "AI", "算法"),
+    modern_more=("蓝牙", "WiFi"),
     tiers={
         "high": ("皇帝", "太子", "王爷", "公主", "宗主", "上仙", "掌门", "帝王", "至尊", "大帝"),
         "medium": ("少爷", "小姐", "公子", "将军", "长老", "县令", "知府", "家主", "丞相", "尚书"),
@@ -146,6 +149,7 @@ LATIN = replace(
     power_low=("that", "nicht", "dans"),
     streak=("tionth", "erhe", "keit"),
     modern=("hash", "ched", "ado"),
+    modern_more=(),
     tiers={"high": ("onth", "keit"), "medium": ("erth", "aux"), "low": ("ando", "heit")},
     protagonist="anti",
     events=("tion", "keit", "aux", "ndo", "erth"),

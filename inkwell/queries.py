@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import checks, detectors, mentions, metrics, search, story, versions
 from .packs import LATIN as P
-from .plans import analysis
+from .packs import Profile
+from .plans import analysis, deltas
 from .sources import manuscripts as ms
+from .stored import temporary
 from .streaming import changes
 
 QUERIES: dict = {}
@@ -147,27 +149,31 @@ def a1_foreshadows(spark, d):
     return detectors.foreshadows(chunks_of(spark, d), P).withColumn("related", F.array_join("related_nodes", ",")).drop("related_nodes")
 
 
-@query(CH + f""", x AS (SELECT project_id, unnest(regexp_extract_all(content, '{P.attribute}', 1)) AS name, unnest(regexp_extract_all(content, '{P.attribute}', 2)) AS v FROM ch)
-SELECT project_id, name || '：外貌冲突' AS title, array_to_string(list_sort(list(DISTINCT v)), '、') AS description, count(DISTINCT v) AS n FROM x GROUP BY project_id, name HAVING count(DISTINCT v) >= 2""")
+@query(CH + f""", x AS (SELECT project_id, path, chunk_index, chunk_id, unnest(regexp_extract_all(content, '{P.attribute}', 1)) AS name, unnest(regexp_extract_all(content, '{P.attribute}', 2)) AS v FROM ch),
+y AS (SELECT project_id, name, v, arg_min(chunk_id, path || lpad(CAST(chunk_index AS VARCHAR), 9, '0')) AS c FROM x GROUP BY ALL)
+SELECT project_id, name || ' 的眼睛颜色可能前后不一致' AS title, name || ' 出现了多个眼睛颜色候选，请依据正文确认。' AS description, count(*) AS n, string_agg(c, ',' ORDER BY v) AS chunk_ids FROM y GROUP BY project_id, name HAVING count(*) >= 2""")
 def a2_attribute_conflicts(spark, d):
-    return detectors.attribute_conflicts(chunks_of(spark, d), P).select("project_id", "title", "description", F.size("evidence").cast("long").alias("n"))
+    return detectors.attribute_conflicts(chunks_of(spark, d), P).select("project_id", "title", "description", F.size("evidence").cast("long").alias("n"), F.array_join(F.transform("evidence", lambda e: e["chunk_id"]), ",").alias("chunk_ids"))
 
 
-def _terms_sql(terms, least, cap):
+def _terms_sql(terms, least, cap, title, description):
     return CH + f""", x AS (SELECT project_id, t, chunk_id, row_number() OVER (PARTITION BY project_id, t ORDER BY path, chunk_index) AS r, count(*) OVER (PARTITION BY project_id, t) AS n FROM (SELECT *, unnest({lst(terms)}) AS t FROM ch) WHERE contains(content, t))
-SELECT project_id, t AS title, t || ': ' || n AS description, string_agg(chunk_id, ',' ORDER BY r) AS chunk_ids FROM x WHERE n >= {least} AND r <= {cap} GROUP BY ALL"""
+SELECT project_id, {title} AS title, {description} AS description, string_agg(chunk_id, ',' ORDER BY r) AS chunk_ids FROM x WHERE n >= {least} AND r <= {cap} GROUP BY ALL"""
 
 
 def _terms(df):
     return df.select("project_id", "title", "description", F.array_join(F.transform("evidence", lambda e: e["chunk_id"]), ",").alias("chunk_ids"))
 
 
-@query(_terms_sql(P.watched, 3, 5))
+REPEATED_TERM = ("'“' || t || '”反复出现'", "'“' || t || '”在多个正文片段中重复出现，可在修订时确认是否有意保留。'")
+
+
+@query(_terms_sql(P.watched, 3, 5, *REPEATED_TERM))
 def a3_repeat_terms(spark, d):
     return _terms(detectors.repeat_terms(chunks_of(spark, d), P))
 
 
-@query(_terms_sql(P.verbs, 4, 1 << 40))
+@query(_terms_sql(P.verbs, 4, 1 << 40, "'重复动作：' || t", "'\"' || t || '\" 出现在 ' || n || ' 个不同章节'"))
 def a5_repeated_actions(spark, d):
     return _terms(detectors.repeated_actions(chunks_of(spark, d), P))
 
@@ -179,9 +185,9 @@ def a4_top_phrases(spark, d):
     return detectors.top_phrases(chunks_of(spark, d), delimiters=P.delimiters)
 
 
-@query(CH + f""", x AS (SELECT project_id, g, count(*) AS n FROM (SELECT *, unnest({lst(P.guides)}) AS g FROM ch) WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}][\\s\\S]{{0,7}}' || g || '{P.speech}') GROUP BY ALL) SELECT project_id, '某某' || g AS title, n AS match_count FROM x WHERE n >= 1""")
+@query(CH + f""", x AS (SELECT project_id, g, count(*) AS n FROM (SELECT *, unnest({lst(P.guides)}) AS g FROM ch) WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}][\\s\\S]{{0,7}}' || g || '{P.speech}') GROUP BY ALL) SELECT project_id, '某某' || g AS subject, '模式 "某某' || g || '" 在 ' || n || ' 个不同章节中出现' AS description, n AS match_count FROM x WHERE n >= 1""")
 def a6_dialogue_patterns(spark, d):
-    return detectors.dialogue_patterns(chunks_of(spark, d), P, least=1).select("project_id", "title", "match_count")
+    return detectors.dialogue_patterns(chunks_of(spark, d), P, least=1).select("project_id", "subject", "description", "match_count")
 
 
 @query(CH + f"""SELECT project_id, path, chunk_index, CAST({" + ".join(f"(length(content) - length(replace(content, '{k}', ''))) / {len(k)}" for k in P.psych)} AS BIGINT) AS hits, CAST(length(content) AS BIGINT) AS chars FROM ch WHERE strlen(content) >= 100 AND NOT contains(content, '«') AND NOT contains(content, '»')""")
@@ -210,7 +216,7 @@ def _weight() -> str:
 
 
 MET = CH + f""",
-na AS (SELECT project_id, path, chunk_index, length(content) AS chars, {nof(P.pleasure)} AS pleasure, {nof(P.conflict)} AS conflict, {nof(P.modern)} AS modern, {_weight()} AS weight, {anyof(P.upgrade)} AS upgrade, row_number() OVER (PARTITION BY project_id ORDER BY path, chunk_index) AS n FROM ch)"""
+na AS (SELECT project_id, path, chunk_index, length(content) AS chars, {nof(P.pleasure)} AS pleasure, {nof(P.conflict)} AS conflict, {nof(P.modern)} AS modern, {_weight()} AS weight, {anyof(P.upgrade)} AS upgrade, {nof(P.events)} + {nof(P.conflict)} AS busy, row_number() OVER (PARTITION BY project_id ORDER BY path, chunk_index) AS n FROM ch)"""
 
 
 @query(MET + """SELECT project_id, round(sum(pleasure) * 1000.0 / sum(chars), 6) AS pleasure_density, round(sum(conflict) * 1000.0 / sum(chars), 6) AS conflict_density, round(sum(modern) * 1000.0 / sum(chars), 6) AS modern_density, round(sum(weight) * 1000.0 / sum(chars), 6) AS intensity, round(avg(chars), 6) AS chapter_avg_words FROM na GROUP BY project_id""")
@@ -225,7 +231,7 @@ def w6_keyword_interval(spark, d):
     return metrics.keyword_interval(metrics.narrow(chunks_of(spark, d), P)).withColumn("upgrade_interval", F.round("upgrade_interval", 6))
 
 
-@query(MET + """, x AS (SELECT project_id, n, sum(pleasure) OVER w AS k, sum(chars) OVER w AS len, avg(chars) OVER (PARTITION BY project_id) AS mean FROM na WINDOW w AS (PARTITION BY project_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+@query(MET + """, x AS (SELECT project_id, n, sum(busy) OVER w AS k, sum(chars) OVER w AS len, avg(chars) OVER (PARTITION BY project_id) AS mean FROM na WINDOW w AS (PARTITION BY project_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
 SELECT project_id, round(coalesce(count(*) FILTER (n >= 5 AND k < 2 AND len > 7.5 * mean) / nullif(count(*) FILTER (n >= 5), 0), 0), 6) AS pacing_flatness FROM x GROUP BY 1""")
 def w7_pacing_flatness(spark, d):
     return metrics.pacing_flatness(metrics.narrow(chunks_of(spark, d), P)).withColumn("pacing_flatness", F.round("pacing_flatness", 6))
@@ -237,6 +243,21 @@ def a14_metrics(spark, d):
     return metrics.metrics(chunks_of(spark, d), P).withColumn("value", F.round("value", 6))
 
 
+#: All metrics; one of them with a weight.
+WANTED = tuple(metrics.Metric(k, "shuangwen", weight=1.5 if k == "时代穿帮风险" else 1.0) for k in metrics.KINDS)
+_PER = {"爽点密度": "pleasure", "冲突频次": "conflict", "时代穿帮风险": "1.5 * modern", "打脸强度": "weight", "知识密度": "knowledge", "人物密度": "person", "地名密度": "place"}
+_OTHER = {"升级间隔": "upgrade_interval", "节奏平缓风险": "pacing_flatness", "章节平均字数": "avg_chars"}
+
+
+@query(MEN + MET[len(CH):] + f""", kn AS (SELECT project_id, sum({" + ".join(f"(length(content) - length(replace(content, '{k}', ''))) / {len(k)}" for k in P.watched)}) AS knowledge FROM ch GROUP BY 1),
+mc AS (SELECT project_id, count(*) FILTER (node_type = 'person') AS person, count(*) FILTER (node_type = 'place') AS place FROM me GROUP BY 1),
+su AS (SELECT project_id, sum(chars) AS chars, avg(chars) AS avg_chars, sum(pleasure) AS pleasure, sum(conflict) AS conflict, sum(modern) AS modern, sum(weight) AS weight FROM na GROUP BY 1),
+al AS (SELECT * FROM su JOIN kn USING (project_id) LEFT JOIN mc USING (project_id) JOIN ({SQL["w6_keyword_interval"]}) USING (project_id) JOIN ({SQL["w7_pacing_flatness"]}) USING (project_id))
+""" + " UNION ALL ".join([f"SELECT project_id, 'shuangwen' AS profile_id, '{k}' AS metric_type, round(coalesce({v}, 0) * 1000.0 / chars, 6) AS value, 'per_1000_chars' AS unit FROM al" for k, v in _PER.items()] + [f"SELECT project_id, 'shuangwen', '{k}', round({v}, 6), '{metrics.KINDS[k][2]}' FROM al" for k, v in _OTHER.items()]))
+def a14_profile_metrics(spark, d):
+    return metrics.profile_metrics(chunks_of(spark, d), P, WANTED, terms=P.watched).withColumn("value", F.round("value", 6))
+
+
 @query(CH + f"""SELECT project_id, round(sum({" + ".join(f"(length(content) - length(replace(content, '{k}', ''))) / {len(k)}" for k in P.watched)}) * 1000.0 / sum(length(content)), 6) AS knowledge_density FROM ch GROUP BY 1""")
 def a13_knowledge_density(spark, d):
     return metrics.knowledge_density(chunks_of(spark, d), P.watched).withColumn("knowledge_density", F.round("knowledge_density", 6))
@@ -262,7 +283,7 @@ def a16_dashboard(spark, d):
     return metrics.dashboard(c, mentions.candidates(mentions.mentions(c, P)), detectors.foreshadows(c, P), detectors.repeat_terms(c, P))
 
 
-@query(f"""SELECT project_id, kind AS issue_type, count(*) AS n FROM (SELECT project_id, 'repeat_term' AS kind FROM ({SQL["a3_repeat_terms"]}) UNION ALL SELECT project_id, 'repeated_action' FROM ({SQL["a5_repeated_actions"]})) GROUP BY ALL""")
+@query(f"""SELECT project_id, kind AS issue_type, count(*) AS n FROM (SELECT project_id, 'repeat_expression' AS kind FROM ({SQL["a3_repeat_terms"]}) UNION ALL SELECT project_id, 'action' FROM ({SQL["a5_repeated_actions"]})) GROUP BY ALL""")
 def a17_issue_counts(spark, d):
     c = chunks_of(spark, d)
     return metrics.issue_counts(detectors.repeat_terms(c, P).unionByName(detectors.repeated_actions(c, P)))
@@ -328,9 +349,9 @@ def w4_diminishing_runs(spark, d):
     return checks.diminishing_runs(chunks_of(spark, d), P)
 
 
-@query(CH + """, x AS (SELECT project_id, path, chunk_index, length(content) AS chars, avg(length(content)) OVER w AS mean, count(*) OVER w AS n FROM ch WINDOW w AS (PARTITION BY project_id)),
+@query(CH + """, x AS (SELECT project_id, path, chunk_index, length(content) AS chars, avg(length(content)) OVER w AS mean, count(*) OVER w AS n, row_number() OVER (PARTITION BY project_id ORDER BY path, chunk_index) AS chapter FROM ch WINDOW w AS (PARTITION BY project_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path, chunk_index) AS r FROM x WHERE n >= 3 AND mean >= 10 AND chars > 2.5 * mean)
-SELECT project_id, path, chunk_index, CAST(chars AS INT) AS chars, round(mean, 3) AS mean FROM r WHERE r = 1""")
+SELECT project_id, path, chunk_index, CAST(chars AS INT) AS chars, round(mean, 3) AS mean, chapter FROM r WHERE r = 1""")
 def w8_chapter_length(spark, d):
     return checks.chapter_length_anomaly(chunks_of(spark, d))
 
@@ -345,22 +366,23 @@ def j5_place_names(spark, d):
     return checks.place_name_anachronisms(chunks_of(spark, d), P.reactions, P)
 
 
-def _rules(pattern: str, positive: bool, word: str) -> str:
-    return f"SELECT project_id, chunk_id, s, a, {positive} AS positive, s || '{word}' || a AS name FROM (SELECT project_id, chunk_id, unnest(regexp_extract_all(content, '{pattern}', 1)) AS s, unnest(regexp_extract_all(content, '{pattern}', 2)) AS a FROM ch)"
+def _rules(pattern: str, before: str, word: str, said: str) -> str:
+    return f"SELECT project_id, chunk_id, s, a, true AS positive, '{before}' || s || '{word}' || a AS name, '{said}' || '{before}' || s || '{word}' || a AS description FROM (SELECT project_id, chunk_id, unnest(regexp_extract_all(content, '{pattern}', 1)) AS s, unnest(regexp_extract_all(content, '{pattern}', 2)) AS a FROM ch)"
 
 
-RU = CH + f""", ru AS (SELECT DISTINCT * FROM ({_rules(P.prohibition, False, "不能")} UNION ALL {_rules(P.prerequisite, True, "才能")}))"""
+RU = CH + f""", ru AS (SELECT DISTINCT * FROM ({_rules(P.prohibition, "", "不能", "从正文抽取的约束规则: ")} UNION ALL {_rules(P.prerequisite, "只有", "才能", "前提约束: ")}))"""
 
 
-@query(RU + """SELECT project_id, chunk_id AS source_chunk_id, name, positive FROM ru GROUP BY ALL""")
+@query(RU + """SELECT project_id, chunk_id AS source_chunk_id, name, description, positive FROM ru GROUP BY ALL""")
 def f3_rules(spark, d):
-    return story.extract_rules(chunks_of(spark, d), P).select("project_id", "source_chunk_id", "name", "positive")
+    return story.extract_rules(chunks_of(spark, d), P).select("project_id", "source_chunk_id", "name", "description", "positive")
 
 
-@query(RU + f""", k AS (SELECT DISTINCT project_id, name AS rule, s, a FROM ru) SELECT k.project_id, rule, chunk_id FROM k JOIN ch ON ch.project_id = k.project_id AND contains(content, s) AND contains(content, a) AND {anyof(P.contradictions)} GROUP BY ALL""")
+@query(RU + f""", k AS (SELECT DISTINCT project_id, name AS rule, s, a FROM ru) SELECT k.project_id, rule, chunk_id, substr(any_value(content), 1, 80) AS snippet FROM k JOIN ch ON ch.project_id = k.project_id AND contains(content, s) AND contains(content, a) AND {anyof(P.contradictions)} GROUP BY ALL""")
 def j3_rule_conflicts(spark, d):
     c = chunks_of(spark, d)
-    return story.rule_conflicts(c, story.extract_rules(c, P), P).select("project_id", "rule", "chunk_id").distinct()
+    rules = story.extract_rules(c, P).withColumn("status", F.lit("active"))
+    return story.rule_conflicts(c, rules, P).select("project_id", "rule", "chunk_id", "snippet").distinct()
 
 
 @query("""SELECT doc_id, CAST(doc_id AS BIGINT) AS value FROM documents""")
@@ -540,11 +562,12 @@ def _queries(spark, d, words: int):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
 
 
+FOLD = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 HITS = """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, chunk_index, project_id) AS rank FROM h) SELECT query_id, CAST(rank AS INT) AS rank, project_id, path, chunk_index FROM r WHERE rank <= 5"""
 QS = lambda n: f"""q AS (SELECT item_id AS query_id, array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[3:{2 + n}], ' ') AS query FROM benchmark)"""
 
 
-@query(CH + f""", {QS(2)}, h AS (SELECT query_id, project_id, path, chunk_index FROM ch JOIN q ON contains(lower(content), lower(query)))""" + HITS)
+@query(CH + f""", {QS(2)}, h AS (SELECT query_id, project_id, path, chunk_index FROM ch JOIN q ON contains({FOLD('content')}, {FOLD('query')}))""" + HITS)
 def f4_search_substring(spark, d):
     return search.search_substring(chunks_of(spark, d), _queries(spark, d, 2), 5).select("query_id", "rank", "project_id", "path", "chunk_index")
 
@@ -553,12 +576,12 @@ NORM = lambda x: f"' ' || trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+'
 
 
 @query(CH + f""", {QS(2)}, p AS (SELECT *, {NORM("content")} AS ct, {NORM("title")} AS tt FROM ch), h0 AS (SELECT query_id, project_id, path, chunk_index FROM p JOIN (SELECT *, {NORM("query")} AS qq FROM q) ON contains(ct, qq) OR contains(tt, qq)),
-h AS (SELECT * FROM h0 UNION ALL SELECT query_id, project_id, path, chunk_index FROM ch JOIN q ON contains(lower(content), lower(query)) WHERE query_id NOT IN (SELECT query_id FROM h0))""" + HITS)
+h AS (SELECT * FROM h0 UNION ALL SELECT query_id, project_id, path, chunk_index FROM ch JOIN q ON contains({FOLD('content')}, {FOLD('query')}) WHERE query_id NOT IN (SELECT query_id FROM h0))""" + HITS)
 def f5_search_phrase(spark, d):
     return search.search_phrase(chunks_of(spark, d), _queries(spark, d, 2), 5).select("query_id", "rank", "project_id", "path", "chunk_index")
 
 
-@query(CH + f""", {QS(2)}, h AS (SELECT *, instr(lower(content), lower(query)) AS p FROM ch JOIN q ON contains(lower(content), lower(query))), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, chunk_index, project_id) AS rank FROM h),
+@query(CH + f""", {QS(2)}, h AS (SELECT *, instr({FOLD('content')}, {FOLD('query')}) AS p FROM ch JOIN q ON contains({FOLD('content')}, {FOLD('query')})), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, chunk_index, project_id) AS rank FROM h),
 k AS (SELECT *, greatest(1, p - 18) AS a, least(length(content), p + length(query) + 17) AS b FROM r WHERE rank <= 5),
 t AS (SELECT *, regexp_replace(CASE WHEN a > 1 THEN '...' ELSE '' END || substr(content, a, b - a + 1) || CASE WHEN b < length(content) THEN '...' ELSE '' END, '[\\[\\]]', '', 'g') AS said FROM k)
 SELECT q.query_id, '# 上下文包: ' || any_value(q.query) || chr(10) || chr(10) || coalesce(string_agg('## ' || rank || '. ' || title || chr(10) || chr(10) || '来源文件: ' || path || ' (' || (chunk_index + 1) || ', ' || start_offset || '-' || end_offset || ')' || chr(10) || chr(10) || said || chr(10), chr(10) ORDER BY rank), '没有找到相关内容。' || chr(10)) AS markdown,
@@ -570,7 +593,7 @@ def s9_context_pack(spark, d):
 
 
 @query(MEN + f""", r AS (SELECT project_id, node_type AS section, -occurrence_count AS o, '- ' || name || ' ×' || occurrence_count AS line FROM ca UNION ALL SELECT project_id, 'foreshadow', -mentions, '- ' || title || ' ' || risk_level FROM ({SQL["a1_foreshadows"]})
- UNION ALL SELECT project_id, 'issue', 0, '- repeat_term ' || title FROM ({SQL["a3_repeat_terms"]})),
+ UNION ALL SELECT project_id, 'issue', 0, '- repeat_expression ' || title FROM ({SQL["a3_repeat_terms"]})),
 n AS (SELECT *, row_number() OVER (PARTITION BY project_id, section ORDER BY o, line) AS n FROM r), b AS (SELECT project_id, section, string_agg(line, chr(10) ORDER BY n) AS body FROM n WHERE n <= 1000 GROUP BY ALL),
 t AS (SELECT project_id, string_agg('## ' || section || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY section) AS sections FROM b GROUP BY 1)
 SELECT project_id, '# ' || project_id || chr(10) || chr(10) || documents || ' / ' || chunks || ' / ' || words || chr(10) || chr(10) || coalesce(sections, '') AS markdown FROM ({SQL["a15_summary"]}) LEFT JOIN t USING (project_id)""")
@@ -595,9 +618,70 @@ def x1_repeat_engine(spark, d):
     return detectors.run_detectors(chunks_of(spark, d), P).groupBy("project_id", "issue_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""SELECT project_id, '[冲突] ' || title AS title, 'conflict' AS task_type, 'high' AS priority FROM ({SQL["a2_attribute_conflicts"]})
+UNION ALL SELECT project_id, '[冲突] 打脸边际递减', 'conflict', 'high' FROM ({SQL["w4_diminishing_runs"]}) WHERE severity = 'high'
+UNION ALL SELECT project_id, '[伏笔] ' || title, 'foreshadow', 'medium' FROM ({SQL["a1_foreshadows"]}) WHERE risk_level = 'high'""")
 def x4_tasks_of_a_scan(spark, d):
-    return analysis.analyze(chunks_of(spark, d), P)["tasks"]
+    """The tasks of a whole scan: of its high issues and its high-risk foreshadows."""
+    return analysis.analyze(chunks_of(spark, d), P)["tasks"].select("project_id", "title", "task_type", "priority")
+
+
+def snapshots(spark, d):
+    """Documents before and after: some come, some go, some get another text."""
+    x = table(spark, d, "documents")
+    path = F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    made = lambda rows, text: rows.select("doc_id", F.col("source").alias("project_id"), path.alias("path"), F.concat(F.lit("doc "), path).alias("title"), text.alias("text"))
+    return made(x.where("doc_id % 11 != 0"), F.col("text")), made(x.where("doc_id % 13 != 0"), F.concat("text", F.when(F.col("doc_id") % 7 == 0, " (new)").otherwise("")))
+
+
+OLD_DOCS = DOCS.replace("FROM documents)", "FROM documents WHERE doc_id % 11 <> 0)")
+NEW_DOCS = DOCS.replace(", text FROM documents)", ", text || CASE WHEN doc_id % 7 = 0 THEN ' (new)' ELSE '' END AS text FROM documents WHERE doc_id % 13 <> 0)")
+on_new = lambda sql: sql.replace(DOCS, NEW_DOCS)
+
+
+def after_changes(spark, d):
+    """The aggregates of the older snapshot, brought up to date from the changed documents."""
+    old, new = snapshots(spark, d)
+    g = deltas.state(spark, temporary(spark))
+    first = ms.chunks(old, P)
+    deltas.increment(g, 0, first.limit(0), first, P)
+    deltas.increment(g, 1, ms.chunks(old.where("doc_id % 13 = 0 OR doc_id % 7 = 0"), P), ms.chunks(new.where("doc_id % 11 = 0 OR doc_id % 7 = 0"), P), P)
+    return g
+
+
+@query(on_new(SQL["m6_aliases"].replace("AS occurrence_count, coalesce(aliases", "AS occurrence_count, first_chunk_id, latest_chunk_id, coalesce(aliases")))
+def x4_delta_candidates(spark, d):
+    return deltas.candidates(after_changes(spark, d), P, length=5).select("project_id", "node_type", "name", "occurrence_count", "first_chunk_id", "latest_chunk_id", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(on_new(SQL["a3_repeat_terms"]))
+def x4_delta_terms(spark, d):
+    return _terms(deltas.repeat_terms(after_changes(spark, d)))
+
+
+@query(on_new(f"""SELECT a.*, flashbacks, events, coalesce(n, 0) AS issues FROM ({SQL["a10_densities"]}) a JOIN ({SQL["a17_flashbacks"]}) USING (project_id) LEFT JOIN (SELECT project_id, CAST(sum(n) AS BIGINT) AS n FROM ({SQL["a17_issue_counts"]}) GROUP BY 1) USING (project_id)"""))
+def x4_delta_projects(spark, d):
+    g = after_changes(spark, d)
+    counts = deltas.issue_counts(g).groupBy("project_id").agg(F.sum("n").alias("issues"))
+    x = deltas.densities(g).join(deltas.flashbacks(g), "project_id").join(counts, "project_id", "left").na.fill(0, ["issues"])
+    return x.select("project_id", *[F.round(c, 6).alias(c) for c in ("pleasure_density", "conflict_density", "modern_density", "intensity", "chapter_avg_words")], "flashbacks", "events", "issues")
+
+
+_BOTH = f"""SELECT project_id, 'repeat_expression' AS issue_type, title, description FROM ({SQL["a3_repeat_terms"]}) UNION ALL SELECT project_id, 'repeated_action', title, description FROM ({SQL["a5_repeated_actions"]})"""
+
+
+@query(f"""WITH o AS ({_BOTH.replace(DOCS, OLD_DOCS)}), n AS ({on_new(_BOTH)})
+SELECT coalesce(n.project_id, o.project_id) AS project_id, coalesce(n.issue_type, o.issue_type) AS issue_type, coalesce(n.title, o.title) AS title, coalesce(n.description, o.description) AS description, CASE WHEN o.issue_type = 'repeat_expression' THEN 'false_positive' ELSE 'open' END AS status
+FROM o FULL JOIN n ON o.project_id = n.project_id AND o.issue_type = n.issue_type AND o.title = n.title""")
+def u2_rescan(spark, d):
+    """Issues after a scan, a user's decisions and a scan of the changed documents: what was decided stays, whatever the counts say now."""
+    old, new = snapshots(spark, d)
+    state, quiet = analysis.results(spark, temporary(spark)), Profile(people=False, places=False, items=False, foreshadows=False, eye_colours=False)
+    how = {"detector_list": {"a": detectors.repeated_actions}}
+    analysis.scan(state, 0, ms.chunks(old, P), P, (quiet,), **how)
+    decided = state.read("issues").where("issue_type = 'repeat_expression'")
+    analysis.set_statuses(state, 1, "issues", decided.select(*analysis.TABLES["issues"].key, F.lit("false_positive").alias("status")))
+    return analysis.scan(state, 2, ms.chunks(new, P), P, (quiet,), **how)["issues"].select("project_id", "issue_type", "title", "description", "status")
 
 
 def file_events(ev: DataFrame) -> DataFrame:

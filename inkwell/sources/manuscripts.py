@@ -8,13 +8,14 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import trimmed
 from ..packs import Pack
+from ..stored import stored
 
 
 def read_manuscripts(spark: SparkSession, root: str, project_id: str) -> DataFrame:
@@ -68,6 +69,16 @@ def documents(files: DataFrame) -> DataFrame:
     return text_columns(made).withColumn("error", F.when(F.col("text").isNull(), F.lit("unreadable"))).drop("content").withColumn("deleted", F.lit(False))
 
 
+def quarantined(files: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(documents that could be read, path and error of the others, how many were scanned and skipped), from one pass over the files.
+
+    A bad file stops nothing. The decoded documents are stored; the counts are observed as they are written.
+    """
+    counts = Observation()
+    made = stored(documents(files).observe(counts, F.count_if(F.col("error").isNull()).alias("scanned"), F.count_if(F.col("error").isNotNull()).alias("skipped")))
+    return made.where("error IS NULL"), made.where("error IS NOT NULL").select("project_id", "path", "error"), dict(counts.get)
+
+
 def text_columns(docs: DataFrame) -> DataFrame:
     return docs.withColumn("content_hash", F.sha2("text", 256)).withColumn("word_count", F.length(F.regexp_replace("text", r"(?U)\s+", "")).cast("long"))
 

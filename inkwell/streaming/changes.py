@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import versions
+from ..sources.generations import Generations, Kept
 
 
 def watched(events: DataFrame) -> DataFrame:
@@ -21,40 +22,45 @@ def debounced(events: DataFrame, quiet: str = "800 milliseconds", late: str = "1
     return made.select("project_id", "path", F.col("w.start").alias("started"), F.col("w.end").alias("released"), "n_events")
 
 
-STATE = "project_id string, path string, content_hash string, last_modified_at timestamp, deleted boolean, batch long"
+#: What is known of each document after a batch.
+FILES = {"files": Kept("project_id string, path string, content_hash string, last_modified_at timestamp, deleted boolean", ("project_id", "path"))}
 
 
-def snapshot(spark: SparkSession, folder: str, before: int, paths: DataFrame) -> DataFrame:
-    """The last known row of each of these paths in batches under `before`; deleted ones too."""
-    rows = spark.read.schema(STATE).parquet(folder).where(F.col("batch") < before).join(paths.select("project_id", "path"), ["project_id", "path"], "left_semi")
-    last = rows.groupBy("project_id", "path").agg(F.max_by(F.struct("content_hash", "last_modified_at", "deleted"), "batch").alias("x"))
-    return last.select("project_id", "path", "x.content_hash", "x.last_modified_at", "x.deleted")
+def file_state(spark: SparkSession, folder: str) -> Generations:
+    """The last known state of each document, batch by batch; a batch reads the buckets of its own paths, in log2 of the batches' number of runs at most."""
+    return Generations(spark, f"{folder}/state", FILES)
+
+
+def compared(state: Generations, batch: int, paths: DataFrame, there: DataFrame) -> DataFrame:
+    """(project_id, path, state: created, modified, deleted or unchanged) of these paths against what was known before the batch; the same if the batch is repeated. there: the documents that are at these paths now."""
+    return versions.classify_documents(state.read("files", keys=paths, before=batch), there)
+
+
+def remember(state: Generations, batch: int, paths: DataFrame, there: DataFrame) -> bool:
+    """Commits what is known of these paths now; False if the batch was committed before."""
+    gone = paths.join(there, ["project_id", "path"], "left_anti").select("project_id", "path", F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("timestamp").alias("last_modified_at"), F.lit(True).alias("deleted"))
+    return state.commit(batch, files=there.select("project_id", "path", "content_hash", "last_modified_at", F.lit(False).alias("deleted")).unionByName(gone))
 
 
 def scan_stream(released: DataFrame, read_documents, folder: str, checkpoint: str, then=None, **trigger):
     """Scans the documents that debounced() releases, batch by batch, against the last known state of each.
 
     read_documents(paths) gives project_id, path, content_hash, last_modified_at (and more) of those that are there. Each batch
-    writes folder/state/batch=N (what is known of its paths now) and folder/states/batch=N (created, modified, deleted,
-    unchanged); a batch that is repeated after a failure writes the same folders again. then(states, documents, batch) goes on
-    from there, to revisions and their impact. State grows with changes; a batch reads the rows of its own paths.
+    writes folder/states/batch=N (created, modified, deleted, unchanged) and commits what is known of its paths now to
+    file_state(); a batch that is repeated after a failure writes the same folder again and commits once. then(states, documents,
+    batch) goes on from there, to revisions, their impact and deltas.increment(), which is idempotent by batch too.
     """
     spark = released.sparkSession
-    state = f"{folder}/state"
-    spark.createDataFrame([], STATE).drop("batch").write.mode("overwrite").parquet(f"{state}/batch=-1")
+    state = file_state(spark, folder)
 
     def scan(rows: DataFrame, batch: int) -> None:
         paths = rows.select("project_id", "path").distinct().persist()
-        old = snapshot(spark, state, batch, paths).persist()
         there = read_documents(paths).persist()
-        states = versions.classify_documents(old, there)
-        states.write.mode("overwrite").parquet(f"{folder}/states/batch={batch}")
-        gone = paths.join(there, ["project_id", "path"], "left_anti").select("project_id", "path", F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("timestamp").alias("last_modified_at"), F.lit(True).alias("deleted"))
-        now = there.select("project_id", "path", "content_hash", "last_modified_at", F.lit(False).alias("deleted")).unionByName(gone)
-        now.write.mode("overwrite").parquet(f"{state}/batch={batch}")
+        compared(state, batch, paths, there).write.mode("overwrite").parquet(f"{folder}/states/batch={batch}")
+        remember(state, batch, paths, there)
         if then:
             then(spark.read.parquet(f"{folder}/states/batch={batch}"), there, batch)
-        for x in (paths, old, there):
+        for x in (paths, there):
             x.unpersist()
 
     writer = released.writeStream.foreachBatch(scan).option("checkpointLocation", checkpoint).outputMode("append")
