@@ -115,53 +115,53 @@ ZH = Pack(
     weights={"打脸": 1.0, "震惊": 2.0, "目瞪口呆": 2.0, "骇然": 2.0, "震撼": 2.0, "碾压": 3.0, "跪": 2.0, "全场": 1.0},
 )
 
-#: For European prose: capitalised names, frequent words as lexicons.
+#: For prose in Latin letters, with English lexicons: capitalised names, chapters by number or a line of one or two words.
 LATIN = replace(
     ZH,
-    heading=r"^\w+(\s\w+)?\.$",
+    heading=r"(?i)^(?:chapter\s+[0-9ivxlc]+.*|prologue|epilogue|\w+(\s\w+)?\.)$",
     delimiters="[.!?\n]",
-    person_patterns=(r"([A-ZÀ-Þ][a-zà-ÿ]+) (?:and|the|of|de|der|que|la|en|die) ", r" (?:to|with|of|von|para|pour) ([a-zà-ÿ]{4,9}) "),
-    place_pattern=r" (?:in|dans|en|im) ([a-zà-ÿ]{3,9}) ",
-    item_patterns=(r"(other|thing|anti)", r" (?:the|la|das) ([a-zà-ÿ]{3,8})"),
-    item_prefixes=("the", "un"),
-    stopwords=("that", "this", "with", "from", "The", "And"),
-    bad_prefixes=("th",),
+    person_patterns=(r"([A-ZÀ-Þ][a-zà-ÿ]+) (?:said|asked|replied|whispered|shouted|looked|walked|turned) ", r" (?:told|asked|to) ([A-ZÀ-Þ][a-zà-ÿ]+)"),
+    place_pattern=r" (?:in|at|near|from|toward) ([A-ZÀ-Þ][a-zà-ÿ]+)",
+    item_patterns=(r"(key|letter|ring|knife|sword|book|photograph|scroll|umbrella|map|bottle)", r" (?:picked up|hid|lost|stole|held) (?:the|a|an) ([a-zà-ÿ]{3,12})"),
+    item_prefixes=("the ", "a ", "an "),
+    stopwords=("The", "And", "But", "This", "That", "There", "When", "Then"),
+    bad_prefixes=("Th",),
     bad_suffixes=("ly",),
     bad_infixes=("tion",),
-    name_length=(2, 9),
-    alias_suffixes=("er", "ing"),
-    markers=("that", "pour", "nicht", "para"),
-    related=r"([A-ZÀ-Þ][a-zà-ÿ]{1,3})",
-    attribute=r" ([a-z]{4}) [^\n]{0,12} (ont|ent|est|and|the|de|der) [^\n]{0,8}(?:er|he|or)",
-    watched=("hean", "nicht", "dans", "para", "erth"),
-    verbs=("ingthe", "andthe", "ereau", "chen", "ado", "tion"),
-    guides=("the", "de", "und", "que", "of"),
-    psych=("on", "er", "th", "in", "de"),
-    quotes=("«", "»"),
-    prohibition=r"([a-z]{2,9}) (?:is|no|nicht|pas) ([a-z]{2,9})",
-    prerequisite=r"only ([a-z]{2,9}) (?:then|for) ([a-z]{2,9})",
-    contradictions=("but", "or", "aber", "pas"),
-    flashback=r"(was|war|qui|los)",
-    relative=r"([0-9]{1,6})",
-    absolute=r"([a-zà-ÿ]{4,9}) ([0-9]{2,4})",
-    speech="[,.]",
-    power_high=("tionth", "keitge", "auxque"),
-    power_low=("that", "nicht", "dans"),
-    streak=("tionth", "erhe", "keit"),
-    modern=("hash", "ched", "ado"),
-    modern_more=(),
-    tiers={"high": ("onth", "keit"), "medium": ("erth", "aux"), "low": ("ando", "heit")},
-    protagonist="anti",
-    events=("tion", "keit", "aux", "ndo", "erth"),
-    setups=("hean", "eau"),
-    reactions=("the", "la"),
-    ranks={"high": ("onth", "keit"), "mid": ("erth", "aux"), "low": ("ando", "heit")},
-    other_periods={"a": ("thand", "chen"), "b": ("ciónde", "eauan")},
-    near_run=r"([a-z]{2,})",
-    pleasure=("tion", "keit", "aux"),
-    conflict=("erth", "heit", "ado"),
-    upgrade=("tionth", "keitge", "auxque", "ciónra"),
-    weights={"tion": 1.0, "keit": 2.0, "aux": 3.0},
+    name_length=(2, 20),
+    alias_suffixes=(".", " Sr", " Jr"),
+    markers=("secret", "clue", "omen", "somehow", "as if", "one day", "riddle", "key"),
+    related=r"([A-ZÀ-Þ][a-zà-ÿ]+)",
+    attribute=r"([A-ZÀ-Þ][a-zà-ÿ]+)[^\n]{0,12} (black|blue|grey|brown|golden|red|green|amber) [^\n]{0,8}eyes",
+    watched=("night", "silence", "bell", "secret", "darkness"),
+    verbs=("picked up", "pushed open", "put down", "embraced", "nodded", "shook", "stood up", "turned around", "looked up", "let go", "drew"),
+    guides=("said", "asked", "replied", "whispered", "shouted", "added", "explained", "laughed", "sighed"),
+    psych=("thought", "felt", "knew", "believed", "wondered", "perhaps", "suddenly", "remembered", "forgot", "feared", "worried", "hoped", "doubted", "guessed", "realised"),
+    quotes=("“", "”"),
+    speech="[,:]",
+    prohibition=r"([a-z]{2,20}) (?:cannot|must not|may not|never) ([a-z]{2,40})",
+    prerequisite=r"only ([a-z]{2,20}) can ([a-z]{2,40})",
+    contradictions=("but", "however", "yet", "still", "nevertheless", "as usual"),
+    relative=r"([0-9]{1,6}) (?:days?|months?|years?) (?:later|earlier)",
+    absolute=r"(year|anno) ([0-9]{1,4})",
+    flashback=r"(remembered|recalled|that year|once|back then|years ago|long ago)",
+    power_high=("grandmaster", "archmage", "immortal"),
+    power_low=("apprentice", "novice", "beginner"),
+    streak=("triumph", "stunned", "crushed", "victory"),
+    modern=("phone", "computer", "television", "internet", "data", "program", "algorithm"),
+    modern_more=("wifi",),
+    tiers={"high": ("king", "queen", "emperor", "prince"), "medium": ("general", "baron", "mayor", "captain"), "low": ("servant", "beggar", "maid", "peasant")},
+    protagonist="the hero",
+    events=("triumph", "stunned", "crushed", "victory", "kneel", "speechless"),
+    setups=("provoke", "insult", "mock", "humiliate"),
+    reactions=("everyone", "the crowd", "speechless", "kneel"),
+    ranks={"high": ("chancellor", "minister", "marshal"), "mid": ("governor", "general", "prefect"), "low": ("clerk", "constable", "scribe")},
+    other_periods={"roman": ("Caesar", "legion"), "medieval": ("crusade", "serf")},
+    near_run=r"([A-Za-zÀ-ÿ]{2,})",
+    pleasure=("triumph", "stunned", "crushed", "victory", "everyone", "kneel", "speechless"),
+    conflict=("provoke", "insult", "wager", "duel", "battle", "fight", "clash"),
+    upgrade=("promoted", "breakthrough", "advanced", "improved"),
+    weights={"triumph": 1.0, "stunned": 2.0, "speechless": 2.0, "crushed": 3.0, "kneel": 2.0},
 )
 PACKS = {"zh": ZH, "latin": LATIN}
 

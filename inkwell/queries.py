@@ -1,24 +1,73 @@
 """The reference queries: every operator over the documents table as manuscripts, with DuckDB SQL for each where SQL can say it.
 
-Project = source, path = zero-padded id, chapters by the latin pack.
+Project = source, path = zero-padded id, chapters by a pack of its own.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import checks, detectors, mentions, metrics, search, story, versions
-from .packs import LATIN as P
-from .packs import Profile
+from .packs import LATIN, ZH, Profile
 from .plans import analysis, deltas
 from .sources import manuscripts as ms
 from .stored import temporary
 from .streaming import changes
 
+#: The pack of these queries: the tables hold invented prose, so its lexicons are pieces of words that are frequent, or rare, in it.
+P = replace(
+    LATIN,
+    heading=r"^\w+(\s\w+)?\.$",
+    delimiters="[.!?\n]",
+    person_patterns=(r"([A-ZÀ-Þ][a-zà-ÿ]+) (?:and|the|of|de|der|que|la|en|die) ", r" (?:to|with|of|von|para|pour) ([a-zà-ÿ]{4,9}) "),
+    place_pattern=r" (?:in|dans|en|im) ([a-zà-ÿ]{3,9}) ",
+    item_patterns=(r"(other|thing|anti)", r" (?:the|la|das) ([a-zà-ÿ]{3,8})"),
+    item_prefixes=("the", "un"),
+    stopwords=("that", "this", "with", "from", "The", "And"),
+    bad_prefixes=("th",),
+    bad_suffixes=("ly",),
+    bad_infixes=("tion",),
+    name_length=(2, 9),
+    alias_suffixes=("er", "ing"),
+    markers=("that", "pour", "nicht", "para"),
+    related=r"([A-ZÀ-Þ][a-zà-ÿ]{1,3})",
+    attribute=r" ([a-z]{4}) [^\n]{0,12} (ont|ent|est|and|the|de|der) [^\n]{0,8}(?:er|he|or)",
+    watched=("hean", "nicht", "dans", "para", "erth"),
+    verbs=("ingthe", "andthe", "ereau", "chen", "ado", "tion"),
+    guides=("the", "de", "und", "que", "of"),
+    psych=("on", "er", "th", "in", "de"),
+    quotes=("«", "»"),
+    prohibition=r"([a-z]{2,9}) (?:is|no|nicht|pas) ([a-z]{2,9})",
+    prerequisite=r"only ([a-z]{2,9}) (?:then|for) ([a-z]{2,9})",
+    contradictions=("but", "or", "aber", "pas"),
+    flashback=r"(was|war|qui|los)",
+    relative=r"([0-9]{1,6})",
+    absolute=r"([a-zà-ÿ]{4,9}) ([0-9]{2,4})",
+    speech="[,.]",
+    power_high=("tionth", "keitge", "auxque"),
+    power_low=("that", "nicht", "dans"),
+    streak=("tionth", "erhe", "keit"),
+    modern=("hash", "ched", "ado"),
+    modern_more=(),
+    tiers={"high": ("onth", "keit"), "medium": ("erth", "aux"), "low": ("ando", "heit")},
+    protagonist="anti",
+    events=("tion", "keit", "aux", "ndo", "erth"),
+    setups=("hean", "eau"),
+    reactions=("the", "la"),
+    ranks={"high": ("onth", "keit"), "mid": ("erth", "aux"), "low": ("ando", "heit")},
+    other_periods={"a": ("thand", "chen"), "b": ("ciónde", "eauan")},
+    near_run=r"([a-z]{2,})",
+    pleasure=("tion", "keit", "aux"),
+    conflict=("erth", "heit", "ado"),
+    upgrade=("tionth", "keitge", "auxque", "ciónra"),
+    weights={"tion": 1.0, "keit": 2.0, "aux": 3.0},
+)
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -68,10 +117,14 @@ c1 AS (SELECT project_id, path, chunk_index, title, regexp_replace(raw, '^\\s+|\
   UNION ALL SELECT project_id, path, 0, 'doc ' || path, text, 0, strlen(text) FROM d SEMI JOIN wh USING (project_id, path)),
 ch AS (SELECT project_id, path, CAST(chunk_index AS BIGINT) AS chunk_index, title, content, CAST(start_offset AS BIGINT) AS start_offset, CAST(end_offset AS BIGINT) AS end_offset, sha256(project_id || '|' || path || '|' || CAST(CAST(chunk_index AS BIGINT) AS VARCHAR)) AS chunk_id FROM c1)"""
 TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-SE = CH + f""",
+def sentences_of(P, CH: str) -> str:
+    return CH + f""",
 se AS (SELECT project_id, path, chunk_index, chunk_id, unnest(list_filter(list_transform(regexp_split_to_array(content, '{P.delimiters}'), lambda x: {TRIM("x")}), lambda x: x <> '')) AS s FROM ch)"""
 
 
+SE = sentences_of(P, CH)
+
+
 @query(CH + """SELECT project_id, path, chunk_index, title, sha256(content) AS content_hash, start_offset, end_offset, chunk_id, CAST(length(regexp_replace(content, '\\s+', '', 'g')) AS BIGINT) AS word_count FROM ch""")
 def c1_chunks(spark, d):
     return chunks_of(spark, d).drop("content")
@@ -113,7 +166,8 @@ def ext(patterns) -> str:
     return "list_concat(" + ", ".join(f"regexp_extract_all(content, '{p}', 1)" for p in patterns) + ")" if len(patterns) > 1 else f"regexp_extract_all(content, '{patterns[0]}', 1)"
 
 
-MEN = CH + f""",
+def men(P, CH: str) -> str:
+    return CH + f""",
 m0 AS (SELECT project_id, path, chunk_index, chunk_id, 'person' AS node_type, unnest({ext(P.person_patterns)}) AS name FROM ch),
 me AS (SELECT * FROM m0 WHERE length(name) BETWEEN {P.name_length[0]} AND {P.name_length[1]} AND NOT list_contains({lst(P.stopwords)}, name) AND NOT regexp_matches(name, '^({some(P.bad_prefixes)})|({some(P.bad_suffixes)})$|({some(P.bad_infixes)})')
  UNION ALL SELECT * FROM (SELECT project_id, path, chunk_index, chunk_id, 'place', unnest({ext((P.place_pattern,))}) AS name FROM ch) WHERE length(name) >= 2
@@ -121,6 +175,9 @@ me AS (SELECT * FROM m0 WHERE length(name) BETWEEN {P.name_length[0]} AND {P.nam
 ca AS (SELECT project_id, node_type, name, count(*) AS occurrence_count, arg_min(chunk_id, path || lpad(CAST(chunk_index AS VARCHAR), 9, '0')) AS first_chunk_id, arg_max(chunk_id, path || lpad(CAST(chunk_index AS VARCHAR), 9, '0')) AS latest_chunk_id, least(50 + 10 * count(*), 90) AS confidence FROM me GROUP BY ALL)"""
 
 
+MEN = men(P, CH)
+
+
 @query(MEN + "SELECT * FROM ca")
 def m5_candidates(spark, d):
     return mentions.candidates(mentions.mentions(chunks_of(spark, d), P))
@@ -139,12 +196,16 @@ def l1_top_candidates(spark, d):
     return mentions.top(mentions.candidates(mentions.mentions(chunks_of(spark, d), P, ("people",))), 50, "person")
 
 
-@query(SE + f""", f AS (SELECT *, substr(s, 1, 28) AS title, path || lpad(CAST(chunk_index AS VARCHAR), 9, '0') AS pos FROM se WHERE length(s) >= 8 AND {anyof(P.markers, "s")}),
+def fores(P, SE: str) -> str:
+    return SE + f""", f AS (SELECT *, substr(s, 1, 28) AS title, path || lpad(CAST(chunk_index AS VARCHAR), 9, '0') AS pos FROM se WHERE length(s) >= 8 AND {anyof(P.markers, "s")}),
 g AS (SELECT project_id, title, count(*) AS mentions, min(pos) AS p0, max(pos) AS p1, arg_min(chunk_id, pos) AS first_chunk_id, arg_max(chunk_id, pos) AS latest_chunk_id, arg_min(chunk_index, pos) AS i0, arg_max(chunk_index, pos) AS i1,
  array_to_string(list_sort(list_distinct(flatten(list(regexp_extract_all(s, '{P.related}', 1))))), ',') AS related FROM f GROUP BY project_id, title),
 e AS (SELECT project_id, title, pos, min(s) AS s FROM f GROUP BY ALL)
 SELECT g.project_id, g.title, mentions, first_chunk_id, latest_chunk_id, related, CASE WHEN abs(i1 - i0) * 2 * mentions >= 20 THEN 'high' WHEN abs(i1 - i0) * 2 * mentions >= 10 THEN 'medium' ELSE 'low' END AS risk_level, substr(e.s, 1, 120) AS evidence
-FROM g JOIN e ON e.project_id = g.project_id AND e.title = g.title AND e.pos = g.p0""")
+FROM g JOIN e ON e.project_id = g.project_id AND e.title = g.title AND e.pos = g.p0"""
+
+
+@query(fores(P, SE))
 def a1_foreshadows(spark, d):
     return detectors.foreshadows(chunks_of(spark, d), P).withColumn("related", F.array_join("related_nodes", ",")).drop("related_nodes")
 
@@ -211,12 +272,16 @@ def a9_similar_groups(spark, d):
     return detectors.similar_groups(chunks_of(spark, d), P)
 
 
-def _weight() -> str:
+def _weight(P) -> str:
     return "(" + " + ".join(f"CASE WHEN contains(content, '{k}') THEN {w} ELSE 0 END" for k, w in P.weights.items()) + ")"
 
 
-MET = CH + f""",
-na AS (SELECT project_id, path, chunk_index, length(content) AS chars, {nof(P.pleasure)} AS pleasure, {nof(P.conflict)} AS conflict, {nof(P.modern)} AS modern, {_weight()} AS weight, {anyof(P.upgrade)} AS upgrade, {nof(P.events)} + {nof(P.conflict)} AS busy, row_number() OVER (PARTITION BY project_id ORDER BY path, chunk_index) AS n FROM ch)"""
+def met(P, CH: str) -> str:
+    return CH + f""",
+na AS (SELECT project_id, path, chunk_index, length(content) AS chars, {nof(P.pleasure)} AS pleasure, {nof(P.conflict)} AS conflict, {nof(P.modern)} AS modern, {_weight(P)} AS weight, {anyof(P.upgrade)} AS upgrade, {nof(P.events)} + {nof(P.conflict)} AS busy, row_number() OVER (PARTITION BY project_id ORDER BY path, chunk_index) AS n FROM ch)"""
+
+
+MET = met(P, CH)
 
 
 @query(MET + """SELECT project_id, round(sum(pleasure) * 1000.0 / sum(chars), 6) AS pleasure_density, round(sum(conflict) * 1000.0 / sum(chars), 6) AS conflict_density, round(sum(modern) * 1000.0 / sum(chars), 6) AS modern_density, round(sum(weight) * 1000.0 / sum(chars), 6) AS intensity, round(avg(chars), 6) AS chapter_avg_words FROM na GROUP BY project_id""")
@@ -370,7 +435,11 @@ def _rules(pattern: str, before: str, word: str, said: str) -> str:
     return f"SELECT project_id, chunk_id, s, a, true AS positive, '{before}' || s || '{word}' || a AS name, '{said}' || '{before}' || s || '{word}' || a AS description FROM (SELECT project_id, chunk_id, unnest(regexp_extract_all(content, '{pattern}', 1)) AS s, unnest(regexp_extract_all(content, '{pattern}', 2)) AS a FROM ch)"
 
 
-RU = CH + f""", ru AS (SELECT DISTINCT * FROM ({_rules(P.prohibition, "", "不能", "从正文抽取的约束规则: ")} UNION ALL {_rules(P.prerequisite, "只有", "才能", "前提约束: ")}))"""
+def rules_of(P, CH: str) -> str:
+    return CH + f""", ru AS (SELECT DISTINCT * FROM ({_rules(P.prohibition, "", "不能", "从正文抽取的约束规则: ")} UNION ALL {_rules(P.prerequisite, "只有", "才能", "前提约束: ")}))"""
+
+
+RU = rules_of(P, CH)
 
 
 @query(RU + """SELECT project_id, chunk_id AS source_chunk_id, name, description, positive FROM ru GROUP BY ALL""")
@@ -626,6 +695,58 @@ def x4_tasks_of_a_scan(spark, d):
     return analysis.analyze(chunks_of(spark, d), P)["tasks"].select("project_id", "title", "task_type", "priority")
 
 
+#: Pieces of which Chinese texts are made, a piece for each word of a document (by its md5): what the zh pack looks for, and plain words.
+PIECES = (
+    "林澈说", "苏雨问道", "走进青石街", "拿起铜钥匙", "雨夜", "沉默", "秘密", "打脸", "挑衅", "手机", "碾压", "回忆起", "林公子", "推开门", "众人", "皇帝", "平民", "三天后", "贞观3年", "。", "。", "。", "魔法不能凭空造物", "却",
+    "震惊", "突破", "青山", "似乎", "金丹", "炼气", "总觉得", "只有勇者才能取剑", "，", "。", "\n第一章 雨夜\n", "\n第二章\n", "天地之间", "风声", "向顾长安说", "日后", "县令", "丞相",
+)
+RE2 = replace(ZH, **{k: v.replace("\\p{IsHan}", "\\p{Han}").replace("(?i)", "(?i)") for k, v in ((k, getattr(ZH, k)) for k in ("heading", "place_pattern", "related", "prohibition", "prerequisite"))}, **{k: tuple(v.replace("\\p{IsHan}", "\\p{Han}") for v in getattr(ZH, k)) for k in ("person_patterns", "item_patterns")})
+
+
+def zh_chunks(spark, d):
+    """Chapters of the documents as Chinese texts."""
+    piece = lambda w: F.element_at(tx.words_array(PIECES), (F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % len(PIECES)) + 1)
+    docs = docs_of(spark, d).where("text IS NOT NULL")
+    return ms.chunks(docs.withColumn("text", F.array_join(F.transform(F.split("text", " ", -1), piece), "")), ZH)
+
+
+ZH_DOCS = f"""d AS (SELECT source AS project_id, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, array_to_string(list_transform(string_split(text, ' '), lambda w: {lst(p.replace(chr(10), "@") for p in PIECES)}[CAST('0x' || md5(w)[1:4] AS INT) % {len(PIECES)} + 1]), '') AS text FROM documents WHERE text IS NOT NULL),
+d2 AS (SELECT project_id, path, replace(text, '@', chr(10)) AS text FROM d)"""
+ZH_CH = CH.replace(DOCS, ZH_DOCS).replace(P.heading, RE2.heading).replace("FROM d)", "FROM d2)").replace("FROM d SEMI", "FROM d2 SEMI").replace("replace(text, '@', chr(10)) AS text FROM d2)", "replace(text, '@', chr(10)) AS text FROM d)")
+ZH_SE = sentences_of(ZH, ZH_CH)
+
+
+@query(ZH_CH + """SELECT project_id, path, chunk_index, title, sha256(content) AS content_hash FROM ch""")
+def zh_chapters(spark, d):
+    return zh_chunks(spark, d).select("project_id", "path", "chunk_index", "title", "content_hash")
+
+
+@query(men(RE2, ZH_CH) + "SELECT project_id, node_type, name, occurrence_count, first_chunk_id, latest_chunk_id FROM ca")
+def zh_candidates(spark, d):
+    return mentions.candidates(mentions.mentions(zh_chunks(spark, d), ZH)).drop("confidence")
+
+
+@query(fores(RE2, ZH_SE))
+def zh_foreshadows(spark, d):
+    return detectors.foreshadows(zh_chunks(spark, d), ZH).withColumn("related", F.array_join("related_nodes", ",")).drop("related_nodes")
+
+
+@query(rules_of(RE2, ZH_CH) + """SELECT project_id, chunk_id AS source_chunk_id, name, description, positive FROM ru GROUP BY ALL""")
+def zh_rules(spark, d):
+    return story.extract_rules(zh_chunks(spark, d), ZH).select("project_id", "source_chunk_id", "name", "description", "positive")
+
+
+@query(met(ZH, ZH_CH) + SQL["a10_densities"].removeprefix(MET))
+def zh_densities(spark, d):
+    x = metrics.densities(metrics.narrow(zh_chunks(spark, d), ZH))
+    return x.select("project_id", *[F.round(c, 6).alias(c) for c in x.columns[1:]])
+
+
+@query(SQL["w4_diminishing_runs"].replace(CH, ZH_CH).replace(anyof(P.setups), anyof(ZH.setups)).replace(anyof(P.reactions), anyof(ZH.reactions)).replace(nof(P.events), nof(ZH.events)))
+def zh_diminishing_runs(spark, d):
+    return checks.diminishing_runs(zh_chunks(spark, d), ZH)
+
+
 def snapshots(spark, d):
     """Documents before and after: some come, some go, some get another text."""
     x = table(spark, d, "documents")

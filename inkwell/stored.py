@@ -20,16 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def temporary(spark: SparkSession) -> str:
+def temporary(spark: SparkSession, name: str = "table") -> str:
     """A new path in the shared folder; what is written there is removed when the session ends."""
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     made = spark._jvm.org.apache.hadoop.fs.Path(path)
     made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives a lost executor."""
-    path = temporary(df.sparkSession)
+    path = temporary(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
