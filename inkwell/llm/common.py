@@ -1,10 +1,7 @@
-"""Helpers that the operators of this subpackage share: the shared folder, cut lineage, packed text batches, rolling hashes."""
+"""Helpers that the operators of this subpackage share: cut lineage, packed text batches, rolling hashes."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stored import stored as written  # noqa: F401  tables that cut lineage, for all operators here
+
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
 #: ASCII white space of the word definitions.
@@ -23,27 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run in one process (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read again. It survives the loss of any executor and is removed when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    made = spark._jvm.org.apache.hadoop.fs.Path(path)
-    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts go to Python in batches of 1000 rows instead of Spark's default of 10,000, which a worker that meets long texts may not hold. A setting of the user's own stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

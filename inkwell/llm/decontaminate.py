@@ -1,8 +1,10 @@
 """3. Benchmark decontamination: a broadcast hash set of the test items' n-grams, scanned over all token windows.
 
-The items' windows are hashed; every block of at most `block` windows is broadcast and one scan of the documents finds
-them (a larger benchmark takes several scans, each adding to the hits of those before). Hash hits are verified word by word
-before they count. Documents stream through; nothing is shuffled. Between two scans the hits so far are a table.
+The items' distinct windows are hashed; every block of some `block` of them is broadcast and one scan of the documents finds
+them (a larger benchmark takes several scans, each adding to the hits of those before). A window is broadcast once however many
+items share it. Hash hits are verified word by word before they count. Documents stream through and are not shuffled; between
+two scans the hits so far are a table. Which items the found windows belong to is a join of the two: of the distinct lists of
+windows that documents hold with the table of (window, item).
 
 Rows: null texts have no words; items without words have no windows; an item shorter than a window is one window. Repeated
 items and repeated documents each count as themselves. A null item_id marks hits, but is listed nowhere. Empty tables give
@@ -75,67 +77,77 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 class Block:
-    """One broadcast: for each window length the sorted hashes, and what stands behind each hash."""
+    """One broadcast: for each window length the sorted hashes and the words themselves."""
 
     def __init__(self, rows: list):
-        self.said: dict[int, dict[bytes, list[str]]] = {}
+        self.said: dict[int, set[bytes]] = {}
         by_n: dict[int, set[int]] = {}
         for r in rows:
             by_n.setdefault(r.n, set()).add(r.hash)
-            ids = self.said.setdefault(r.n, {}).setdefault(bytes(r.said), [])
-            if r.item_id is not None:
-                ids.append(r.item_id)
+            self.said.setdefault(r.n, set()).add(bytes(r.said))
         self.hashes = {n: np.sort(np.array(list(x), np.int64).view(np.uint64)) for n, x in by_n.items()}
 
-    def hits(self, words: Words) -> Iterator[tuple[int, int, list[str]]]:
-        """(first word, n, items) of verified windows."""
+    def hits(self, words: Words) -> Iterator[tuple[int, int, bytes]]:
+        """(first word, n, words) of verified windows."""
         for n, known in self.hashes.items():
             first, hashes = words.windows(n)
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             for f in first[known[at] == hashes]:
-                items = self.said[n].get(words.said(int(f), n))
-                if items is not None:
-                    yield int(f), n, items
+                said = words.said(int(f), n)
+                if said in self.said[n]:
+                    yield int(f), n, said
 
 
 def _scanned(docs: DataFrame, key: str, block) -> DataFrame:
-    """Adds one block's hits to (key, text, spans so far, items so far)."""
-    out = T.StructType([docs.schema[key], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    """Adds one block's hits to (key, text, words, spans so far, windows so far)."""
+    out = T.StructType([docs.schema[key], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("windows", T.ArrayType(T.BinaryType()))])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            had_spans, had_items = batch.column(3), batch.column(4)
+            had_spans, had_windows = batch.column(3), batch.column(4)
             for row, texts in packed(batch.column(1)):
                 words = Words(texts)
                 spans = [set(x or ()) for x in had_spans.slice(row, texts.n).to_pylist()]
-                items = [set(x or ()) for x in had_items.slice(row, texts.n).to_pylist()]
+                windows = [set(x or ()) for x in had_windows.slice(row, texts.n).to_pylist()]
                 zero = np.searchsorted(words.doc, np.arange(texts.n))
-                for f, n, found in block.value.hits(words):
+                for f, n, said in block.value.hits(words):
                     d = words.doc[f]
                     spans[d].update(range(f - zero[d], f - zero[d] + n))
-                    items[d].update(found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, texts.n), batch.column(1).slice(row, texts.n), pa.array(words.per_doc, pa.int64()), pa.array([sorted(x) for x in spans], pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=out.names)
+                    windows[d].add(said)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, texts.n), batch.column(1).slice(row, texts.n), pa.array(words.per_doc, pa.int64()), pa.array([sorted(x) for x in spans], pa.list_(pa.int32())), pa.array([sorted(x) for x in windows], pa.list_(pa.binary()))], names=out.names)
 
     return docs.mapInArrow(step, out)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(key, text, n_words, hit_words: indexes of the words inside found windows, items: ids of the items found, both sorted)."""
+def _found(docs: DataFrame, windows: DataFrame, key: str, block: int) -> DataFrame:
+    """(key, text, n_words, spans, windows) of each row. windows: item_windows()."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    windows = item_windows(benchmark, window).persist()
-    n = windows.count()
-    blocks = max(1, -(-n // block))
-    found = docs.select(key, F.col("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for b in range(blocks):  # a whole window falls in one block, as it is dealt by its hash
-        rows = windows.where(F.pmod("hash", F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(Block(rows))
+    distinct = windows.select("n", "hash", "said").distinct().persist()
+    blocks = max(1, -(-distinct.count() // block))
+    found = docs.select(key, F.col("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<binary>").alias("windows"))
+    for b in range(blocks):
+        shared = spark.sparkContext.broadcast(Block(distinct.where(F.pmod("hash", F.lit(blocks)) == b).collect()))
         found = _scanned(found, key, shared)
         if b < blocks - 1:  # a task holds one block, so what one scan has found is written before the next
             found = written(found, "hits")
-            shared.unpersist()
-    windows.unpersist()
-    return found.withColumnRenamed("spans", "hit_words")
+            shared.destroy()
+    distinct.unpersist()
+    return found
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """(key, n_words, hit_words: indexes of the words inside found windows, items: ids of the items found, both sorted) of each row."""
+    windows = written(item_windows(benchmark, window), "windows")
+    found = _found(docs.select(key, "text"), windows, key, block)
+    found = written(found.select(key, "n_words", F.col("spans").alias("hit_words"), "windows"), "found")
+    none = F.array().cast("array<string>").alias("items")
+    hit = found.where(F.size("windows") > 0)
+    lists = hit.select("windows").distinct()
+    held = lists.select("windows", F.explode("windows").alias("said")).join(windows.where("item_id IS NOT NULL").select("said", "item_id").distinct(), "said")
+    items = held.groupBy("windows").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    named = hit.join(items, "windows", "left").select(key, "n_words", "hit_words", F.coalesce("items", none).alias("items"))
+    return found.where(F.size("windows") == 0).select(key, "n_words", "hit_words", none).unionByName(named)
 
 
 def removed(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", window: int = WINDOW, block: int = BLOCK, drop: bool = False) -> DataFrame:
@@ -146,7 +158,7 @@ def removed(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", windo
     """
     names = docs.columns
     packed_rows = docs.select(F.struct(*[docs[c] for c in names if c != "text"]).alias("row"), "text")
-    found = contamination(packed_rows, benchmark, key="row", window=window, block=block)
+    found = _found(packed_rows, written(item_windows(benchmark, window), "windows"), "row", block).withColumnRenamed("spans", "hit_words")
     if drop:
         found = found.where(F.size("hit_words") == 0)
     out = T.StructType([found.schema["row"], T.StructField("text", T.StringType())])

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, context_trees, decontaminate, html_main, lines, middle, near_duplicates, quality_rules, records, repeated_spans, rule_classifier, spelling
-from .common import crc_of_id, read_table, shared_dir
+from ..stored import temporary
+from .common import crc_of_id, read_table
 from .sql import SQL
 
 
@@ -45,9 +46,7 @@ def op4_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    folder = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    folder = temporary(spark)
     sizes = records.write(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), folder, end_id=2)
     return records.read(spark, sizes).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

@@ -137,6 +137,18 @@ def test_decontamination(spark, block):
     assert decontaminate.contamination(empty(spark), bench).count() == 0
 
 
+def test_a_window_of_many_items_is_broadcast_once(spark):
+    """100,000 items with one common text, in blocks of 1000 windows."""
+    said = "one two three four five six seven eight nine ten"
+    bench = spark.range(100_000).select(F.col("id").alias("item_id"), F.concat(F.lit(said), F.when(F.col("id") % 50 == 0, F.concat(F.lit(" own"), F.col("id"))).otherwise("")).alias("text"))
+    windows = decontaminate.item_windows(bench, 10)
+    assert windows.count() == 102_000 and windows.select("said").distinct().count() == 2001
+    docs = docs_of(spark, [(1, f"x {said} y"), (2, f"{said} own100"), (3, "nothing"), (4, f"{said}"), (4, f"{said}")])
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, block=1000).collect()}
+    assert len(got[1]["items"]) == len(got[4]["items"]) == len(got[2]["items"]) == 100_000 and got[3]["items"] == []
+    assert got[2].hit_words == list(range(11)) and got[1].hit_words == list(range(1, 11))
+
+
 def tree_by_hand(train, text, depth):
     """Probability by the definition: every tree and node in plain dicts."""
     seqs = [[255] * depth + list(t) + [255] for t in train]
@@ -195,9 +207,12 @@ def test_context_trees(spark, block):
     assert nothing.score == pytest.approx(3 * 8 * math.log10(0.5)) and nothing.n_known == 0
 
 
-def test_model_beats_words_on_held_out(spark):
-    """On sf0.1; on smaller tables the base wins, as it charges an unknown word (24 % of them in sf0.001) as one symbol, however it is spelt."""
-    made = queries.op4_context_trees(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+SMALL = pytest.mark.xfail(strict=True, reason="on small tables the model loses to the base, which charges an unknown word as one symbol however it is spelt; see README")
+
+
+@pytest.mark.parametrize("sf", ["sf0.1", pytest.param("sf0.01", marks=SMALL), pytest.param("sf0.001", marks=SMALL)])
+def test_model_beats_words_on_held_out(spark, sf):
+    made = queries.op4_context_trees(spark, f"/root/testdata/{sf}").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert made.s > made.b
 
 
