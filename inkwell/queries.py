@@ -251,7 +251,14 @@ def a6_dialogue_patterns(spark, d):
     return detectors.dialogue_patterns(chunks_of(spark, d), P, least=1).select("project_id", "subject", "description", "match_count")
 
 
-@query(CH + f"""SELECT project_id, path, chunk_index, CAST({" + ".join(f"(length(content) - length(replace(content, '{k}', ''))) / {len(k)}" for k in P.psych)} AS BIGINT) AS hits, CAST(length(content) AS BIGINT) AS chars FROM ch WHERE strlen(content) >= 100 AND NOT contains(content, '«') AND NOT contains(content, '»')""")
+PSY = CH + f""", qu AS (SELECT project_id, path, chunk_index, content, string_split(replace(replace(content, '{P.quotes[0]}', chr(1) || '+'), '{P.quotes[1]}', chr(1) || '-'), chr(1)) AS parts FROM ch WHERE strlen(content) >= 100),
+qp AS (SELECT project_id, path, chunk_index, unnest(parts) AS p, unnest(range(len(parts))) AS i FROM qu),
+qd AS (SELECT *, sum(CASE WHEN i = 0 THEN 0 WHEN p[1] = '+' THEN 1 ELSE -1 END) OVER (PARTITION BY project_id, path, chunk_index ORDER BY i) AS deep FROM qp),
+ql AS (SELECT project_id, path, chunk_index, coalesce(string_agg(CASE WHEN i = 0 THEN p ELSE p[2:] END, chr(2) ORDER BY i) FILTER (deep <= 0), '') AS plain FROM qd GROUP BY ALL),
+ps AS (SELECT ql.project_id, ql.path, ql.chunk_index, CAST({" + ".join(f"(length(plain) - length(replace(plain, '{k}', ''))) / {len(k)}" for k in P.psych)} AS BIGINT) AS hits, CAST(length(content) AS BIGINT) AS chars FROM ql JOIN qu ON qu.project_id = ql.project_id AND qu.path = ql.path AND qu.chunk_index = ql.chunk_index)"""
+
+
+@query(PSY + "SELECT * FROM ps")
 def a7_psych_density(spark, d):
     return detectors.psych_counts(chunks_of(spark, d), P).select("project_id", "path", "chunk_index", "hits", "chars")
 
@@ -682,6 +689,15 @@ def s12_knowledge(spark, d):
     return ms.knowledge_summary(table(spark, d, "events").select(F.col("event_type").alias("pack_name"), (F.col("user_id") % 5).cast("string").alias("dynasty"), F.col("event_id").alias("row_no"), F.col("props").alias("category")))
 
 
+@query(f"""WITH e AS (SELECT project_id, 'repeated_expression' AS issue_type, 1 AS n FROM ({SQL["a4_top_phrases"]}) GROUP BY 1 UNION ALL SELECT project_id, 'repeated_action', count(*) FROM ({SQL["a5_repeated_actions"]}) GROUP BY 1
+UNION ALL SELECT project_id, 'repeated_dialogue', count(*) FROM ({SQL["a6_dialogue_patterns"]}) WHERE match_count >= 6 GROUP BY 1 UNION ALL SELECT project_id, 'repeated_psych_density', count(*) FROM ({PSY} SELECT * FROM ps) WHERE hits / chars >= 0.04 GROUP BY 1)
+SELECT project_id, issue_type, CAST(n AS BIGINT) AS n FROM e""")
+def x1_detectors(spark, d):
+    """The repeat engine with all of its detectors but that of paragraphs, whose greedy groups are beyond SQL."""
+    some = {k: f for k, f in detectors.REPEATED.items() if k != "similar_paragraph"}
+    return detectors.run_detectors(chunks_of(spark, d), P, some).groupBy("project_id", "issue_type").agg(F.count("*").alias("n"))
+
+
 @query()
 def x1_repeat_engine(spark, d):
     return detectors.run_detectors(chunks_of(spark, d), P).groupBy("project_id", "issue_type").agg(F.count("*").alias("n"))
