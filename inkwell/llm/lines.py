@@ -9,9 +9,9 @@
    most_bits / BITS keys), hashes are dealt into that many shares and each share has filters, and a pass over the texts, of its own.
 4. Lines that the second filter may hold are suspected repeats. Only they are shuffled, as SHA-256 digests of their keys: documents
    are counted exactly, and the holder (the largest document id) is chosen.
-5. Suspected lines meet their key's verdict (a common key's join can be split), the numbers of lines to drop are gathered per
-   document, and the texts without them are put together. Documents meet their list by a join that Spark broadcasts if the lists
-   are small; otherwise the texts are shuffled once.
+5. Suspected lines meet their key's verdict (a common key's join can be split), and the numbers of lines to drop are gathered per
+   document. A Bloom filter of these documents, broadcast if it is no larger than most_bits (else all texts are taken for
+   such), parts the texts: all others stay as they are, where they are; these meet their list by a join.
 
 A filter never misses a repeat, and a false suspicion costs a row of the shuffle but changes nothing.
 
@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -96,8 +97,8 @@ def _share(h: np.ndarray, share: int, shares: int) -> np.ndarray:
     return h[h % np.uint64(shares) == np.uint64(share)] if shares > 1 else h
 
 
-def twice_filter(table: DataFrame, pieces: int, share: int = 0, shares: int = 1) -> np.ndarray:
-    """The second filter's bits, PIECE * pieces of them, as bytes. table: hashes()."""
+def twice_filter(table: DataFrame, pieces: int, share: int = 0, shares: int = 1, least: int = 2) -> np.ndarray:
+    """The bits, PIECE * pieces of them, as bytes, of the filter of what is seen so often (1 or 2 times) at least. table: hashes()."""
     sent = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("once", T.BinaryType()), T.StructField("twice", T.BinaryType())])
 
     def bits(h: np.ndarray) -> pa.RecordBatch:
@@ -123,7 +124,7 @@ def twice_filter(table: DataFrame, pieces: int, share: int = 0, shares: int = 1)
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by piece; one piece's two filters are held at a time."""
         now, once, twice = None, None, None
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["piece", "bits"])
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice if least > 1 else once).tobytes()], pa.binary())], names=["piece", "bits"])
         for batch in batches:
             for piece, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if piece != now:
@@ -209,9 +210,10 @@ def without_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         some = written(suspects(docs, bits, share, shares, text=text, key=key, length=length), "suspects")
         bits.destroy()
         found = some if found is None else found.unionByName(some)
-    lost = to_drop(found, written(confirmed(found, key=key, least=least), "confirmed"), key=key)
+    lost = written(to_drop(found, written(confirmed(found, key=key, least=least), "confirmed"), key=key), "lost")
     rows = docs.select(docs[key], docs[text].alias("__text"), F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))).alias("__sum"))
-    both = rows.join(lost.withColumnRenamed(key, "__key"), rows[key].eqNullSafe(F.col("__key")) & (F.col("__sum") == F.col("sum")), "left").select(key, "__text", "drop")
+    clean, touched = parted(rows, lost, key, most_bits)
+    both = touched.join(lost.withColumnRenamed(key, "__key"), touched[key].eqNullSafe(F.col("__key")) & (F.col("__sum") == F.col("sum")), "left").select(key, "__text", "drop")
     out = T.StructType([docs.schema[key], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,4 +231,30 @@ def without_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
                     made.append(body)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, texts.n), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(made, pa.binary()).view(pa.string())], names=out.names)
 
-    return both.mapInArrow(step, out)
+    made = both.mapInArrow(step, out)
+    if clean is None:
+        return made
+    body = F.coalesce("__text", F.lit(""))
+    as_is = clean.select(key, (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), body.alias("kept"))
+    return as_is.unionByName(made)
+
+
+def parted(rows: DataFrame, lost: DataFrame, key: str, most_bits: int) -> tuple[DataFrame | None, DataFrame]:
+    """(rows that are surely not in lost, the others) of rows (key, __text, __sum); lost: (key, sum, ..). Without a filter of lost that may be broadcast all are others."""
+    n = lost.count()
+    if n * BITS > most_bits:
+        return None, rows
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], names=["n", "h"])
+
+    packed_rows = lost.select(F.xxhash64(key, "sum").alias("h")).mapInArrow(pack, "n long, h binary")
+    bits = rows.sparkSession.sparkContext.broadcast(twice_filter(packed_rows, max(1, -(-n * BITS // PIECE)), least=1))
+
+    @F.pandas_udf("boolean")
+    def among(h: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bits.value, h.to_numpy(np.int64).view(np.uint64)))
+
+    flagged = rows.withColumn("__among", among(F.xxhash64(key, "__sum")))
+    return flagged.where("NOT __among").drop("__among"), flagged.where("__among").drop("__among")
