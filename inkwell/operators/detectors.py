@@ -92,7 +92,7 @@ def top_phrases(chunks: DataFrame, least: int = 5, n: tuple[int, int] = (4, 10),
     than its first letters, so only those whose first letters are in as many chunks as the top-th short phrase are counted.
     """
     clean = F.filter(F.transform(sentences("content", delimiters), lambda s: F.regexp_replace(s, r"[^\p{IsAlphabetic}\p{N}]+", "")), lambda s: F.length(s) >= n[0])
-    rows = chunks.select("project_id", "chunk_id", clean.alias("said"))
+    rows = stored(chunks.select("project_id", "chunk_id", clean.alias("said")))  # read twice
     runs = lambda s, g: F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n[0]}}})(.{{0,{n[1] - n[0]}}}))."), g)  # noqa: E731  at every letter
     counted = lambda x: x.groupBy("project_id", "phrase").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= least)
     short = stored(counted(rows.select("project_id", F.explode(F.array_distinct(F.flatten(F.transform("said", lambda s: runs(s, 1))))).alias("phrase"))))
