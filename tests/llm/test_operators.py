@@ -512,6 +512,23 @@ def test_candidates_hold_every_link(spark, block):
     assert len(links) > 50 and links <= got and all(of[i] != of[j] for i, j in got)
 
 
+@pytest.mark.parametrize("block", [7, 256])
+def test_a_large_class_meets_all_others_at_once(spark, block):
+    """A class of 120 nodes and 60 classes of one or two share a passage: the class goes out once for each part of the others, and a link is found for each class that has one."""
+    rnd = random.Random(4)
+    passage, own = list(range(80)), lambda: [rnd.randrange(1000, 1030) for _ in range(26)]
+    raw = [np.array(own() + passage, np.uint64) for _ in range(210)]
+    of = [min(max(0, i - 119), 1 + (i - 119) % 60) if i > 119 else 0 for i in range(210)]
+    rows = spark.createDataFrame([(c.to_bytes(16, "big"), i.to_bytes(16, "big"), w.tobytes()) for i, (c, w) in enumerate(zip(of, raw, strict=True))], "class binary, node binary, w binary")
+    pairs = spark.createDataFrame([((0).to_bytes(16, "big"), c.to_bytes(16, "big")) for c in sorted(set(of)) if c], "c1 binary, c2 binary")
+    sent = near_duplicates.dealt(pairs, rows, block).count()
+    assert sent == 120 * -(-90 // block) + 90 * -(-120 // block)
+    linked = {(i, j) for i in range(120) for j in range(120, 210) if near_duplicates.edit_distance(raw[i], raw[j], 21) <= 21}
+    found = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in near_duplicates.between(pairs, rows, block=block, joining=True).collect()}
+    assert found <= linked and 0 < len({of[j] for _, j in linked}) < 60
+    assert {of[j] for _, j in found} == {of[j] for _, j in linked}
+
+
 @pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2])
 def test_recall_by_edit_rate(rate):
     """Pairs of 200 words with that share of them changed at random places: how many agree in a sample."""
