@@ -5,7 +5,8 @@ pair stands is a certain cut (all pairs inside tokens are noted when the vocabul
 
 1. between a character that is no white space and an ASCII white-space character after it, if the two bytes that meet there
    are such a pair. There the tokenizer's own splitting pattern cuts too, whatever stands around, so fragments encode
-   independently and their ids are concatenated. A fragment is encoded once in a worker and then looked up.
+   independently and their ids are concatenated. A fragment is encoded once in a worker and then looked up. Where the tokenizer
+   puts all in lower case and drops white space, fragments are words in lower case, so there are fewer to encode.
 2. inside a fragment, after the tokenizer's splitting pattern, at every such pair of bytes, also between letters. The runs of
    bytes that are left are merged side by side in numpy: in each step every run takes its merge of least rank, the leftmost of
    equal ones, until none has a merge. Fragments with characters other than ASCII and Latin-1's letters (the pattern's Unicode
@@ -36,7 +37,7 @@ from .common import bounded_batches
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 #: Fragments that a worker remembers, and their bytes with their ids'.
-CACHED, CACHED_BYTES = 200_000, 16 << 20
+CACHED, CACHED_BYTES = 500_000, 32 << 20
 #: The splitting pattern of byte-level tokenizers, which their files leave out.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1 << 62)
@@ -117,6 +118,8 @@ class Merges:
 #: Letters beyond ASCII that are letters in every version of Unicode, have no other composed form and one lower-case letter.
 LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 PLAIN = re.compile(rf"[\x00-\x7f{LATIN}]*").fullmatch
+#: What str.split() takes for white space and the patterns don't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def plain_pattern(spec: dict) -> tuple[re.Pattern, bool] | None:
@@ -185,8 +188,14 @@ class Fragments:
             self.first = np.array([vocab[c] for c in plain], np.int64)
             self.last = np.array([vocab[c + end] for c in plain], np.int64)
         self.added = [x["content"] for x in spec["added_tokens"]]
+        #: Case and white space leave no trace in the ids of a PLAIN text: its fragments are its words in lower case.
+        self.wordy = bool(self.split and self.low and not self.uncertain and not any(re.search(r"\s", x) for x in self.split(" a\t 1 \n!\r\n 's \x0b\x0c ")))
 
     def cut(self, text: str) -> list[str]:
+        if self.wordy and (text.isascii() or PLAIN(text)) and not any(c in text for c in SEPARATORS):
+            low = text.lower()
+            if not any(x in text or x in low for x in self.added):
+                return low.split()
         parts = self.pieces(text)
         raw = text.encode() if self.uncertain else b""
         if any(pair in raw for pair in self.uncertain):
@@ -205,8 +214,8 @@ class Fragments:
         if len(known) > CACHED or self.held > CACHED_BYTES:
             known.clear()
             self.held = 0
-        self._learn([p for p in set().union(*cuts) if p not in known])
-        return [b"".join([known[p] for p in parts]) for parts in cuts]
+        self._learn(list(set().union(*cuts).difference(known)))
+        return [b"".join(map(known.__getitem__, parts)) for parts in cuts]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -226,13 +235,13 @@ class Fragments:
             self.known[p] = np.array(e.ids, "<i4").tobytes()
         if own:
             split = self.split
-            parts = [split(p.lower()) for p in own] if self.low else [split(p) for p in own]
+            parts = [[p] if p.isalpha() else split(p) for p in map(str.lower, own)] if self.low else [split(p) for p in own]
             flat = [x for p in parts for x in p]
             ids, counts = self.coded(flat)
             raw = ids.astype("<i4").tobytes()
             ends = np.cumsum(np.r_[0, counts])[np.cumsum([0, *map(len, parts)])] * 4
-            for p, a, b in zip(own, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                self.known[p] = raw[a:b]
+            bounds = ends.tolist()
+            self.known.update(zip(own, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
 
     def coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, ids of each piece): PLAIN pieces of the splitting pattern, cut at every certain pair and merged."""

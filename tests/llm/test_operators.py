@@ -579,3 +579,17 @@ def test_crc(spark):
     from inkwell.llm.common import crc_of_id
 
     assert [r[0] for r in spark.createDataFrame([(12,), (None,)], "doc_id long").select(crc_of_id()).collect()] == [zlib.crc32(b"12"), zlib.crc32(b"")]
+
+
+def test_words_in_lower_case_are_fragments():
+    """A tokenizer that drops case and white space has one fragment for a word however it is written and wherever it stands; texts that it reads otherwise keep theirs."""
+    codec = bpe.Fragments(queries.tokenizer("word_bpe_49k.json"))
+    assert codec.cut("The\n\n THE\tthe ÉTÉ, été,\x0b") == ["the", "the", "the", "été,", "été,"]
+    for text in ("a\x1cb", "a\x85b", "İx", "<|ENDOFTEXT|> a", "a<|endoftext|>b"):
+        assert "".join(codec.cut(text)) == text
+    rnd = random.Random(6)
+    letters = [*"aAbÉéßsS'' \t\n\r\x0b\x0c\x1c\x1f\x00<|>.!19-_\x85\xa0 ıİΣ", "'S", "'LL", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 25))) for _ in range(3000)]
+    want = codec.library.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<i4").tolist() for x in codec.encode_all(texts)] == [e.ids for e in want]
+    assert codec.cut("") == [] and not bpe.Fragments(queries.tokenizer("byte_bpe_50k.json")).wordy
