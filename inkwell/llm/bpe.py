@@ -12,7 +12,8 @@ pair stands is a certain cut (all pairs inside tokens are noted when the vocabul
    equal ones, until none has a merge. Fragments with characters other than ASCII and Latin-1's letters (the pattern's Unicode
    classes and the normaliser are the library's) and those with added tokens are encoded by the tokenizers library.
 
-Memory: a worker remembers at most CACHED fragments and CACHED_BYTES of them, then starts anew; a batch needs its own texts.
+Memory: a worker remembers at most CACHED fragments and CACHED_BYTES of them, or so many times that as its caller asks for, then
+starts anew; a batch needs its own texts. What a worker has once taken stays with it when other operators' tasks run there.
 
 Rows: a null text counts as empty and has no ids. Repeated rows each give their row. An empty table gives an empty
 result. Only the named columns are read, so other columns can have any name.
@@ -37,7 +38,7 @@ from .common import bounded_batches
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 #: Fragments that a worker remembers, and their bytes with their ids'.
-CACHED, CACHED_BYTES = 500_000, 32 << 20
+CACHED, CACHED_BYTES = 200_000, 16 << 20
 #: The splitting pattern of byte-level tokenizers, which their files leave out.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1 << 62)
@@ -143,9 +144,10 @@ def plain_pattern(spec: dict) -> tuple[re.Pattern, bool] | None:
 
 
 class Fragments:
-    """A tokenizer file that encodes texts fragment by fragment."""
+    """A tokenizer file that encodes texts fragment by fragment. room: how many times CACHED and CACHED_BYTES it may hold."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: float = 1):
+        self.room = room
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -211,7 +213,7 @@ class Fragments:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit little-endian integers."""
         cuts, known = [self.cut(t) for t in texts], self.known
-        if len(known) > CACHED or self.held > CACHED_BYTES:
+        if len(known) > self.room * CACHED or self.held > self.room * CACHED_BYTES:
             known.clear()
             self.held = 0
         self._learn(list(set().union(*cuts).difference(known)))
@@ -268,8 +270,8 @@ class Fragments:
 
 
 @lru_cache(maxsize=4)
-def fragments(path: str) -> Fragments:
-    return Fragments(path)
+def fragments(path: str, room: float = 1) -> Fragments:
+    return Fragments(path, room)
 
 
 def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:

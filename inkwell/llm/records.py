@@ -34,6 +34,8 @@ from .bpe import fragments
 
 NULL_KEY = -(1 << 63)
 MASK = 0xA282EAD8
+#: Times the fragments that an encoder remembers otherwise: the words of many texts.
+ROOM = 2.5
 SIZES = "part int, file string, n_records long, n_ids long"
 
 
@@ -64,7 +66,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int, key: str
     end = np.array([end_id], "<i4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = fragments(tokenizer)
+        codec = fragments(tokenizer, ROOM)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -593,3 +593,13 @@ def test_words_in_lower_case_are_fragments():
     want = codec.library.encode_batch_fast(texts, add_special_tokens=False)
     assert [np.frombuffer(x, "<i4").tolist() for x in codec.encode_all(texts)] == [e.ids for e in want]
     assert codec.cut("") == [] and not bpe.Fragments(queries.tokenizer("byte_bpe_50k.json")).wordy
+
+
+def test_a_worker_remembers_few_fragments():
+    """A worker keeps its memory when other stages' tasks run there, so only a caller that asks for room holds more."""
+    path = queries.tokenizer("byte_bpe_50k.json")
+    usual, roomy = bpe.Fragments(path), bpe.Fragments(path, records.ROOM)
+    for codec in (usual, roomy):
+        for at in range(0, 260_000, 10_000):
+            codec.encode_all([" ".join(str(i) for i in range(at, at + 10_000))])
+    assert len(usual.known) < 220_000 and len(roomy.known) >= 260_000
