@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm import bpe, chat, context_trees, decontaminate, html_main, near_duplicates, quality_rules, queries, records, repeated_spans, rule_classifier
+from inkwell.llm import bpe, chat, context_trees, decontaminate, html_main, lines, near_duplicates, quality_rules, queries, records, repeated_spans, rule_classifier
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("ids", T.StringType()), T.StructField("n", T.StringType()), T.StructField("row", T.StringType()), T.StructField("whole", T.StringType()), T.StructField("label", T.StringType())])
@@ -603,3 +603,23 @@ def test_a_worker_remembers_few_fragments():
         for at in range(0, 260_000, 10_000):
             codec.encode_all([" ".join(str(i) for i in range(at, at + 10_000))])
     assert len(usual.known) < 220_000 and len(roomy.known) >= 260_000
+
+
+def test_only_what_a_join_needs_is_shuffled(spark):
+    """Samples that one text has and words of texts that are not compared stay out of the shuffles; without filters all is as before."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(200)]
+    texts += [t + " more" for t in texts[:10]] + [None, ""]
+    docs = docs_of(spark, [(i, t) for i, t in enumerate(texts)])
+    nodes = near_duplicates.sketches(docs).where("n > 0")
+    shared = nodes.select(F.explode("samples").alias("bucket")).groupBy("bucket").count().where("count > 1").select("bucket")
+    sent = near_duplicates.bucket_rows(nodes, lines.filter_of(shared))
+    needed = near_duplicates.bucket_rows(nodes).join(shared, "bucket", "left_semi")
+    assert needed.count() > 800 and needed.exceptAll(sent).count() == 0 and sent.count() < needed.count() + 0.05 * 210 * near_duplicates.SAMPLES
+    members = needed.select("node").distinct()
+    words = near_duplicates._word_rows(docs, "text", lines.filter_of(members.select(F.xxhash64("node"))))
+    assert words.join(members, "node", "left_semi").count() == 20 and words.count() <= 40
+    every = near_duplicates._word_rows(docs, "text")
+    assert near_duplicates.thinned(every, members, 1 << 20).count() <= 40 and near_duplicates.thinned(every, members, 0).count() == every.count()
+    classes = [sorted(map(tuple, near_duplicates.classified(docs, most_bits=bits).collect())) for bits in (0, 1 << 20)]
+    assert classes[0] == classes[1] and len({r[1] for r in classes[0]}) == 201
