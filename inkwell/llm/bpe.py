@@ -274,17 +274,17 @@ def fragments(path: str, room: float = 1) -> Fragments:
     return Fragments(path, room)
 
 
-def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", decoded: bool = False, room: float = 1) -> DataFrame:
     """(key, ids array<int>) of each row's whole text: the ids that the tokenizer file gives, without special tokens added.
 
-    decoded: with a third column decoded, what decode() gives for these ids, made in the same task.
+    decoded: with a third column decoded, what decode() gives for these ids, made in the same task. room: see Fragments.
     """
     out = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
 
     bounded_batches(docs.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = fragments(tokenizer)
+        codec = fragments(tokenizer, room)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

@@ -598,11 +598,13 @@ def test_words_in_lower_case_are_fragments():
 def test_a_worker_remembers_few_fragments():
     """A worker keeps its memory when other stages' tasks run there, so only a caller that asks for room holds more."""
     path = queries.tokenizer("byte_bpe_50k.json")
-    usual, roomy = bpe.Fragments(path), bpe.Fragments(path, records.ROOM)
-    for codec in (usual, roomy):
+    import corpus_pipeline
+
+    usual, roomy, tight = (bpe.Fragments(path, room) for room in (1, records.ROOM, corpus_pipeline.ROOM))
+    for codec in (usual, roomy, tight):
         for at in range(0, 260_000, 10_000):
             codec.encode_all([" ".join(str(i) for i in range(at, at + 10_000))])
-    assert len(usual.known) < 220_000 and len(roomy.known) >= 260_000
+    assert len(tight.known) < 70_000 and len(usual.known) < 220_000 and len(roomy.known) >= 260_000
 
 
 def test_only_what_a_join_needs_is_shuffled(spark):
