@@ -625,3 +625,23 @@ def test_only_what_a_join_needs_is_shuffled(spark):
     assert near_duplicates.thinned(every, members, 1 << 20).count() <= 40 and near_duplicates.thinned(every, members, 0).count() == every.count()
     classes = [sorted(map(tuple, near_duplicates.classified(docs, most_bits=bits).collect())) for bits in (0, 1 << 20)]
     assert classes[0] == classes[1] and len({r[1] for r in classes[0]}) == 201
+
+
+def test_texts_that_share_a_passage_are_not_paired_out(spark, monkeypatch):
+    """Texts with a passage in common and no link meet in groups: rows that go to pairwise alignment stay under a few per text, and words that one class alone has meet nothing."""
+    rnd, sent, met = random.Random(6), [], []
+    passage = [f"p{i}" for i in range(80)]
+    texts = [" ".join(passage + [f"o{rnd.randrange(40)}" for _ in range(26)]) for _ in range(160)]
+    verified, meeting = near_duplicates._verified, near_duplicates.meeting
+    monkeypatch.setattr(near_duplicates, "_verified", lambda pairs, *how: sent.append(pairs.count()) or verified(pairs, *how))
+    monkeypatch.setattr(near_duplicates, "meeting", lambda x, y, *how: met.append(y.groupBy("word").agg(F.countDistinct("class").alias("n")).where("n < 2").count()) or meeting(x, y, *how))
+    got = {r.doc_id: r.class_id for r in near_duplicates.classified(docs_of(spark, list(enumerate(texts + ["alone " * 5 + t for t in texts[:3]])))).collect()}
+    code = {w: i for i, w in enumerate(sorted(set(" ".join(texts).split()) | {"alone"}))}
+    coded = [np.array([code[w] for w in t.split()], np.uint64) for t in texts]
+    group = list(range(163))
+    for i, x in enumerate(coded):
+        for j in range(i):
+            if near_duplicates.edit_distance(x, coded[j], 21) <= 21:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert [got[i] for i in range(160)] == group[:160] and [got[160 + i] for i in range(3)] == group[:3]
+    assert sum(sent) <= 3 * 163 and met and sum(met) <= 3
