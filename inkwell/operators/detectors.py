@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..components import components
 from ..functions.text import any_of, occurrences, present, run_tokens, sentences, snippet
@@ -153,30 +156,198 @@ def paragraphs(chunks: DataFrame, pack: Pack, least_bytes: int = 20) -> DataFram
     return s.withColumn("tokens", F.array_sort(run_tokens("s"))).withColumn("set_id", F.xxhash64("project_id", "tokens")).where(F.size("tokens") > 0)
 
 
-#: Sets that hold a token, in one part of them; those of more common tokens meet as pairs of such parts.
+#: Prefix rows of a token, in one part of them; those of more common tokens meet as pairs of such parts.
 BLOCK = 2000
 
 
-def similar_pairs(chunks: DataFrame, pack: Pack, t: float = 0.6, block: int = BLOCK) -> DataFrame:
-    """(project_id, a, b, common, total, ta, tb) of distinct token sets with Jaccard similarity of at least t.
+def paragraph_sets(chunks: DataFrame, pack: Pack) -> DataFrame:
+    """(project_id, path, chunk_index, sentence_no, set_id, tokens) of the paragraphs, stored."""
+    return stored(paragraphs(chunks, pack).select("project_id", "path", "chunk_index", "sentence_no", "set_id", "tokens"))
+
+
+def _listed(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, broadcast where it is short."""
+    return F.broadcast(ids) if ids.count() <= LISTED else ids
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """(project_id, set_id, tokens) of paragraph_sets(), once each; only sets that repeat are shuffled. Without a project none is like another."""
+    some = rows.where("project_id IS NOT NULL").select("project_id", "set_id", "tokens")
+    often = _listed(stored(some.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1").select("set_id")))
+    again = some.join(often, "set_id", "left_semi").groupBy("set_id").agg(F.first("project_id").alias("project_id"), F.first("tokens").alias("tokens"))
+    return some.join(often, "set_id", "left_anti").unionByName(again)
+
+
+def _token_keys(sets: DataFrame) -> DataFrame:
+    """(set_id, keys: a hash of project and token for each token)."""
+    return sets.select("set_id", F.transform("tokens", lambda t: F.xxhash64("project_id", t)).alias("keys"))
+
+
+def _keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, how many of each set)."""
+    lists = batch.column(1)
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _token_counts(keyed: DataFrame) -> np.ndarray:
+    """How many sets have tokens of each slot: SLOTS numbers, whatever the sets."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            sums += np.bincount(_slot(_keys_of(batch)[0]), minlength=SLOTS)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some], pa.int64())], names=["slot", "n"])
+
+    rows = stored(keyed.mapInArrow(step, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
 
-    A prefix-filter join: sets that are similar share one of their rarest tokens. Where they meet, their sizes and the places of the
-    token in both bound what they can have in common, so few pairs leave the join. The sets of a common token are dealt into parts,
-    and each two parts meet in a group of their own, so no task holds more than two parts however many sets share a token.
+
+def prefixes(batch: pa.RecordBatch, counts: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+    """(key, set in the batch, tokens of the set, 1-based place, count of the key's slot) of each set's rarest tokens, and 64 bits that stand for each set's tokens.
+
+    Of n tokens, all but the ceil(t n) - 1 most common ones: two sets of similarity t share one of these.
+    """
+    keys, n = _keys_of(batch)
+    of = np.repeat(np.arange(len(n)), n)
+    count = counts[_slot(keys)]
+    bits = np.zeros(len(n), np.uint64)
+    np.bitwise_or.at(bits, of, np.uint64(1) << (keys >> np.uint64(50) & np.uint64(63)))
+    order = np.lexsort((keys, count, of))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+    keep = place < (n - np.ceil(n * t - 1e-9).astype(np.int64) + 1)[of]
+    at = order[keep]
+    return keys[at], of[at], n[of[at]], place[keep] + 1, count[at], bits
+
+
+def _common_keys(keyed: DataFrame, known, t: float, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, parts) of the keys with more than block prefix rows, sorted. Only those whose slot has so many tokens are counted."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, _, _, _, count, _ = prefixes(batch, known.value, t)
+            some, n = np.unique(keys[count > block], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+
+    if known.value.max() <= block:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = stored(keyed.mapInArrow(step, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > block)).toArrow()
+    keys, n = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], -(-n[order] // block)
+
+
+def _dealt(keys: np.ndarray, ids: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, group, side) of rows of these keys and sets: a common key's sets are in parts, and each two parts meet in a group of their own, as sides 0 and 1; else the side is 2."""
+    every = np.arange(len(keys))
+    if not len(common[0]):
+        return every, keys, np.full(len(keys), 2, np.int64)
+    at = np.minimum(np.searchsorted(common[0], keys), len(common[0]) - 1)
+    hot = common[0][at] == keys
+    rows, groups, sides = [every[~hot]], [keys[~hot]], [np.full(int((~hot).sum()), 2, np.int64)]
+    where = every[hot]
+    parts = common[1][at[hot]]
+    part = ((ids[where] >> np.uint64(7)) % parts.astype(np.uint64)).astype(np.int64)
+    row, other = np.repeat(where, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    own = np.repeat(part, parts)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    rows.append(row)
+    groups.append((keys[row] + np.uint64(0x9E3779B97F4A7C15) * (low * 1_000_003 + high + 1).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9))
+    sides.append(np.where(own == other, 2, (own > other).astype(np.int64)))
+    return np.concatenate(rows), np.concatenate(groups), np.concatenate(sides)
+
+
+def _near(g: np.ndarray, m: np.ndarray, a: np.ndarray, bits: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group that may be similar. Rows come sorted by group and size; m: size, place, side.
+
+    Sizes, places and bits bound what two sets have in common: the smaller is at least t of the larger; behind this token they share
+    the rest of one at most; and each bit that one alone has is a token that one alone has.
     """
-    sets = stored(paragraphs(chunks, pack).groupBy("project_id", "set_id").agg(F.first("tokens").alias("tokens")))
-    tokens = sets.select("project_id", "set_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rare = tokens.groupBy("project_id", "token").agg(F.count("*").alias("f"))
-    place = W.partitionBy("project_id", "set_id").orderBy("f", "token")
-    prefix = tokens.join(rare, ["project_id", "token"]).withColumn("i", F.row_number().over(place)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + 1)
-    prefix = prefix.withColumn("parts", F.ceil(F.col("f") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
-    a = prefix.select("project_id", "token", F.col("part").alias("pa"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("pb"), F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    b = prefix.select("project_id", "token", F.explode(F.sequence(F.lit(0), "part")).alias("pa"), F.col("part").alias("pb"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    most = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # what they can have in common
-    fits = (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9) & (most >= F.lit(t) * (F.col("na") + F.col("nb") - most) - 1e-9)
-    met = a.join(b, ["project_id", "token", "pa", "pb"]).where(((F.col("pa") < F.col("pb")) | (F.col("a") < F.col("b"))) & fits)
-    pairs = met.select("project_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    full = pairs.join(sets.select("project_id", F.col("set_id").alias("a"), F.col("tokens").alias("ta")), ["project_id", "a"]).join(sets.select("project_id", F.col("set_id").alias("b"), F.col("tokens").alias("tb")), ["project_id", "b"])
+    n, i, side = m
+    live, d = np.arange(len(g)), 1
+    while len(live):
+        live = live[live + d < len(g)]
+        live = live[(g[live] == g[live + d]) & (n[live] >= t * n[live + d] - 1e-9)]  # sizes ahead only grow
+        x, y = live, live + d
+        total = n[x] + n[y]
+        most = np.minimum(i[x], i[y]) + np.minimum(n[x] - i[x], n[y] - i[y])
+        most = np.minimum(most, (total - np.bitwise_count(bits[x] ^ bits[y])) // 2)
+        fits = (most >= t * (total - most) - 1e-9) & (a[x] != a[y]) & ((side[x] == 2) | (side[x] != side[y]))
+        if fits.any():
+            yield x[fits], y[fits]
+        d += 1
+
+
+def candidate_pairs(keyed: DataFrame, t: float, block: int, tokens: int = TOKENS) -> DataFrame:
+    """(a, b: set ids), perhaps more than once: the sets that may be similar. keyed: _token_keys().
+
+    A prefix-filter join: sets that are similar share one of their rarest tokens (by any order of all tokens; here by counters).
+    The keys are taken in a few passes, so that their rows are never all shuffled at once.
+    """
+    context = keyed.sparkSession.sparkContext
+    counts = _token_counts(keyed)
+    known = context.broadcast(counts)
+    shared = context.broadcast(_common_keys(keyed, known, t, block))
+    passes = int(min(PASSES, 1 + counts.sum() // tokens))
+    sent = T.StructType([T.StructField("g", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("n", "i", "side")], T.StructField("a", T.LongType()), T.StructField("bits", T.LongType())])
+
+    def send(turn: int):
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, of, n, i, count, bits = prefixes(batch, known.value, t)
+                ids = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                some = np.flatnonzero((keys % np.uint64(passes) == np.uint64(turn)) & (count > 1))
+                keys, of, n, i = keys[some], of[some], n[some], i[some]
+                row, group, side = _dealt(keys, ids[of], shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), *[pa.array(x, pa.int32()) for x in (n[row], i[row], side)], pa.array(ids[of[row]].view(np.int64)), pa.array(bits[of[row]].view(np.int64))], names=sent.names)
+
+        return step
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups of what has come; the last one may go on in the next batch."""
+        held = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                held = batch if held is None else pa.concat_batches([held, batch])
+            if held is None or not held.num_rows:
+                continue
+            g = held.column(0).to_numpy()
+            end = len(g) if batch is None else int(np.argmax(g == g[-1]))
+            part, held = held.slice(0, end), held.slice(end)
+            n, i, side, a, bits = (part.column(c).to_numpy() for c in range(1, 6))
+            for x, y in _near(g[:end], (n.astype(np.int64), i.astype(np.int64), side), a, bits.view(np.uint64), t):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], a[y])), pa.array(np.maximum(a[x], a[y]))], names=["a", "b"])
+
+    out = None
+    for turn in range(passes):
+        made = stored(keyed.mapInArrow(send(turn), sent).repartition("g").sortWithinPartitions("g", "n").mapInArrow(meet, "a long, b long").distinct())
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def similar_pairs(chunks: DataFrame, pack: Pack, t: float = 0.6, block: int = BLOCK) -> DataFrame:
+    """(project_id, a, b, common, total, ta, tb) of distinct token sets with Jaccard similarity of at least t. Tokens of more than block sets are dealt out."""
+    return pairs_of(paragraph_sets(chunks, pack), t, block)
+
+
+def pairs_of(rows: DataFrame, t: float = 0.6, block: int = BLOCK) -> DataFrame:
+    """similar_pairs() of paragraph_sets(): candidates, held against the sets themselves; only sets of a candidate are shuffled."""
+    sets = _sets(rows)
+    pairs = stored(candidate_pairs(_token_keys(sets), t, block).distinct())
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    some = stored(sets.join(_listed(ids), "set_id", "left_semi"))
+    full = pairs.join(some.select("project_id", F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a").join(some.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     return full.withColumn("common", both).where(F.col("common") >= F.lit(t) * (F.size("ta") + F.size("tb") - F.col("common")) - 1e-9).select("project_id", "a", "b", "common", (F.size("ta") + F.size("tb") - F.col("common")).alias("total"), "ta", "tb")
 
@@ -243,6 +414,12 @@ def similar_paragraphs(chunks: DataFrame, pack: Pack) -> DataFrame:
     rows = paragraphs(chunks, pack).select("project_id", "path", "chunk_index", "chunk_id", "title", "sentence_no", F.substring("s", 1, 120).alias("s"))
     hits = similar_groups(chunks, pack).join(rows, ["project_id", "path", "chunk_index", "sentence_no"])
     made = hits.select("project_id", "component", "group_no", evidence(F.col("s")).alias("evidence")).groupBy("project_id", "component", "group_no").agg(gathered().alias("evidence"))  # five at most
+#: Counters by which tokens are sorted; in one broadcast, so a fixed number.
+SLOTS = 1 << 21
+#: Tokens that are looked at in one pass, about; and passes at most.
+TOKENS, PASSES = 4_000_000, 4
+#: Ids that are broadcast at most; more are joined by a shuffle.
+LISTED = 1 << 20
     first = F.concat_ws("|", F.col("evidence")[0]["chunk_id"], F.md5(F.col("evidence")[0]["snippet"]))
     return made.select("project_id", *issue("paragraph", description=(F.size("evidence"),), subject=first), "evidence")
 
