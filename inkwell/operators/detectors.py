@@ -363,8 +363,11 @@ def similar_groups(chunks: DataFrame, pack: Pack, t: float = 0.6, most: int = 5)
     only, however many they are, are counted off. All others pass a task in order, component by component (each choice depends on
     those before it): it holds the sets and links of one component, never its paragraphs.
     """
-    rows = stored(paragraphs(chunks, pack).select("project_id", "path", "chunk_index", "sentence_no", "set_id"))
-    links = stored(similar_pairs(chunks, pack, t).select("project_id", "a", "b"))
+    sets = paragraph_sets(chunks, pack)
+    links = stored(pairs_of(sets, t).select("project_id", "a", "b"))
+    # a set that stands in one paragraph and is like no other is in no group
+    some = stored(sets.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1").select("set_id").union(links.select(F.explode(F.array("a", "b")))).distinct())
+    rows = stored(sets.drop("tokens").join(_listed(some), "set_id", "left_semi"))
     node = lambda c: F.struct("project_id", F.col(c).alias("set_id"))
     label = components(links.select(node("a").alias("a"), node("b").alias("b"))).select("node.project_id", "node.set_id", F.col("class.set_id").alias("component"))
     alone = segmented(rows.join(label, ["project_id", "set_id"], "left_anti").withColumnRenamed("project_id", "owner").select(F.concat_ws("|", F.col("set_id").cast("string"), "owner").alias("project_id"), "path", (F.col("chunk_index") * 4_294_967_296 + F.col("sentence_no")).alias("chunk_index"), F.col("chunk_index").alias("chunk"), "sentence_no", "set_id", "owner"))
