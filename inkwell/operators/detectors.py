@@ -88,34 +88,118 @@ def repeated_actions(chunks: DataFrame, pack: Pack, least: int = LEAST_ACTIONS)
     return made.select("project_id", *issue("action", title=(F.col("term"),), description=(F.col("term"), F.col("n"))), "evidence")
 
 
+#: Phrases that a task counts at a time; first letters of phrases that one broadcast holds.
+HELD, STARTS = 500_000, 100_000
+
+
+def said_clean(chunks: DataFrame, delimiters: str, least: int, *more) -> DataFrame:
+    """(project_id, chunk_id, said: the letters and digits of each sentence of at least so many, more columns), stored."""
+    clean = F.filter(F.transform(sentences("content", delimiters), lambda s: F.regexp_replace(s, r"[^\p{IsAlphabetic}\p{N}]+", "")), lambda s: F.length(s) >= least)
+    return stored(chunks.where("project_id IS NOT NULL").select("project_id", "chunk_id", clean.alias("said"), *more))
+
+
+def _phrase_counts(rows: DataFrame, phrases, least: int) -> DataFrame:
+    """(project_id, phrase, n_chunks) of those in so many chunks at least. phrases: of project and sentences, each phrase of the chunk once."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+
+        def sent() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([p for p, c in counts.items() for _ in c], pa.string()), pa.array([x for c in counts.values() for x in c], pa.string()), pa.array([n for c in counts.values() for n in c.values()], pa.int64())], names=["project_id", "phrase", "n"])
+            counts.clear()
+            return made
+
+        for batch in batches:
+            for project, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts.setdefault(project, Counter()).update(phrases(project, said))
+                if sum(map(len, counts.values())) > HELD:
+                    yield sent()
+        yield sent()
+
+    return rows.select("project_id", "said").mapInArrow(step, "project_id string, phrase string, n long").groupBy("project_id", "phrase").agg(F.sum("n").alias("n_chunks")).where(F.col("n_chunks") >= least)
+
+
 def top_phrases(chunks: DataFrame, least: int = 5, n: tuple[int, int] = (4, 10), top: int = 15, delimiters: str = "[。！？\n]") -> DataFrame:
-    """(project_id, phrase, n_chunks, rank): the phrases of n letters that stand in most chunks of a project, longer ones first.
+    """(project_id, phrase, n_chunks, rank): the phrases of n letters that stand in most chunks of a project, longer ones first."""
+    return leading_phrases(said_clean(chunks, delimiters, n[0]), least, n, top)
+
+
+def leading_phrases(rows: DataFrame, least: int, n: tuple[int, int], top: int) -> DataFrame:
+    """top_phrases() of said_clean().
 
     The shortest length is counted first, each phrase once a chunk before the shuffle. A longer phrase stands in no more chunks
-    than its first letters, so only those whose first letters are in as many chunks as the top-th short phrase are counted.
+    than its first letters, so only those whose first letters are in as many chunks as the top-th short phrase are counted; first
+    with one more letter, then the longer ones of those that are still in as many.
     """
-    clean = F.filter(F.transform(sentences("content", delimiters), lambda s: F.regexp_replace(s, r"[^\p{IsAlphabetic}\p{N}]+", "")), lambda s: F.length(s) >= n[0])
-    rows = stored(chunks.select("project_id", "chunk_id", clean.alias("said")))  # read twice
-    runs = lambda s, g: F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n[0]}}})(.{{0,{n[1] - n[0]}}}))."), g)  # noqa: E731  at every letter
-    counted = lambda x: x.groupBy("project_id", "phrase").agg(F.count("*").alias("n_chunks")).where(F.col("n_chunks") >= least)
-    short = stored(counted(rows.select("project_id", F.explode(F.array_distinct(F.flatten(F.transform("said", lambda s: runs(s, 1))))).alias("phrase"))))
+    lo, hi = n
+    rows = _once_a_chunk(rows)
+    short = stored(_phrase_counts(rows, lambda project, said: {s[i : i + lo] for s in said for i in range(len(s) - lo + 1)}, least))
     by = W.partitionBy("project_id").orderBy(F.desc("n_chunks"), "phrase")
-    bar = short.withColumn("i", F.row_number().over(by)).where(F.col("i") <= top).groupBy("project_id").agg(F.when(F.count("*") == top, F.min("n_chunks")).otherwise(0).alias("bar"))
-    live = short.join(bar, "project_id").where("n_chunks >= bar").select("project_id", "phrase", "bar")
-    starts = rows.select("project_id", "chunk_id", F.explode("said").alias("s")).select("project_id", "chunk_id", F.explode(F.arrays_zip(runs("s", 1).alias("phrase"), runs("s", 2).alias("more"))).alias("x"))
-    starts = starts.select("project_id", "chunk_id", "x.phrase", "x.more").where("more != ''").join(live, ["project_id", "phrase"])
-    longer = starts.select("project_id", "chunk_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("more")), lambda k: F.concat("phrase", F.substring(F.col("more"), F.lit(1), k)))).alias("phrase")).distinct()
-    every = short.join(live.select("project_id", "phrase"), ["project_id", "phrase"]).unionByName(counted(longer))
+    bar = stored(short.withColumn("i", F.row_number().over(by)).where(F.col("i") <= top).groupBy("project_id").agg(F.when(F.count("*") == top, F.min("n_chunks")).otherwise(0).alias("bar")))
+    live = stored(short.join(bar, "project_id").where("n_chunks >= bar").drop("bar"))
+    every = live
+    for start, end in ((lo, lo + 1), (lo + 1, hi)):
+        if end > start and end <= hi:
+            more = stored(_longer(rows, live, start, end, least).join(bar, "project_id").where("n_chunks >= bar").drop("bar"))
+            every, live = every.unionByName(more), more
     order = W.partitionBy("project_id").orderBy(F.desc("n_chunks"), F.desc(F.length("phrase")), "phrase")
     return every.select("project_id", "phrase", "n_chunks").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def _longer(rows: DataFrame, live: DataFrame, start: int, end: int, least: int) -> DataFrame:
+    """(project_id, phrase, n_chunks) of the phrases of start + 1 to end letters that begin with a phrase of live, of start letters."""
+    out, parts = None, max(1, -(-live.count() // STARTS))
+    for part in range(parts):
+        starts: dict[str, set[str]] = {}
+        for r in live.where(F.pmod(F.xxhash64("project_id", "phrase"), F.lit(parts)) == part).select("project_id", "phrase").toLocalIterator():
+            starts.setdefault(r.project_id, set()).add(r.phrase)
+        known = rows.sparkSession.sparkContext.broadcast(starts)
+
+        def longer(project: str, said: list[str], known=known) -> set[str]:
+            own, found = known.value.get(project, ()), set()
+            for s in said if len(own) > FEW else ("\n".join(said),):  # what is looked for holds letters and digits alone
+                if len(own) > FEW:
+                    places = [i for i in range(len(s) - start) if s[i : i + start] in own]
+                else:
+                    places = [i for p in own for i in _places(s, p)]
+                for i in places:
+                    whole = s[i : i + end].partition("\n")[0]
+                    found.update(whole[:k] for k in range(start + 1, len(whole) + 1))
+            return found
+
+        made = _phrase_counts(rows, longer, least)
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+#: So many phrases are looked for one by one.
+FEW = 60
+
+
+def _places(s: str, x: str) -> Iterator[int]:
+    i = s.find(x)
+    while i >= 0:
+        yield i
+        i = s.find(x, i + 1)
+
+
+def _once_a_chunk(rows: DataFrame) -> DataFrame:
+    """said_clean() with one row for each chunk, as a repeated one counts once."""
+    often = stored(rows.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id"))
+    if not often.limit(1).count():
+        return rows
+    again = rows.join(often, "chunk_id", "left_semi").groupBy("project_id", "chunk_id").agg(F.flatten(F.collect_list("said")).alias("said"))
+    return rows.select("project_id", "chunk_id", "said").join(often, "chunk_id", "left_anti").unionByName(again)
+
+
 def high_freq_phrases(chunks: DataFrame, pack: Pack, least: int = 5, n: tuple[int, int] = (4, 10), top: int = 15) -> DataFrame:
     """One issue per project: its leading phrase, how many others there are, the first five chunks that hold it."""
-    best = top_phrases(chunks, least, n, top, pack.delimiters).groupBy("project_id").agg(F.min_by("phrase", "rank").alias("leader"), F.max("n_chunks").alias("n"), (F.count("*") - 1).alias("others"))
-    clean = F.exists(F.transform(sentences("content", pack.delimiters), lambda s: F.regexp_replace(s, r"[^\p{IsAlphabetic}\p{N}]+", "")), lambda s: F.contains(s, F.col("leader")))
-    hits = chunks.join(best, "project_id").where(clean).select("project_id", "leader", "n", "others", evidence(F.substring("content", 1, 100), F.col("n")).alias("evidence"))
-    made = hits.groupBy("project_id", "leader", "n", "others").agg(gathered(5).alias("evidence"))
+    rows = said_clean(chunks, pack.delimiters, n[0], "path", "chunk_index", "title", F.substring("content", 1, 100).alias("snippet"))
+    best = stored(leading_phrases(rows, least, n, top).groupBy("project_id").agg(F.min_by("phrase", "rank").alias("leader"), F.max("n_chunks").alias("n"), (F.count("*") - 1).alias("others")))
+    hits = rows.join(best, "project_id").where(F.exists("said", lambda s: F.contains(s, F.col("leader"))))
+    first = W.partitionBy("project_id").orderBy("path", "chunk_index")
+    hits = hits.select("project_id", "path", "chunk_index", "leader", "n", "others", evidence(F.col("snippet"), F.col("n")).alias("evidence")).withColumn("i", F.row_number().over(first)).where("i <= 5")
+    made = hits.groupBy("project_id", "leader", "n", "others").agg(gathered().alias("evidence"))
     text = F.concat(said(MESSAGES["expression"].description, (F.col("leader"), F.col("n"))), F.when(F.col("others") > 0, said(MORE_PHRASES, (F.col("others"),))).otherwise(""))
     return made.select("project_id", *issue("expression", description=text), "evidence")
 
