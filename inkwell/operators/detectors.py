@@ -205,7 +205,11 @@ def high_freq_phrases(chunks: DataFrame, pack: Pack, least: int = 5, n: tuple[in
 
 
 def dialogue_patterns(chunks: DataFrame, pack: Pack, least: int = 6) -> DataFrame:
-    led = lambda g: F.col("content").rlike(r"[\p{IsAlphabetic}\p{N}][\s\S]{0,7}" + re.escape(g) + pack.speech)
+    # the guide is looked for first, and then what stands before it: from each letter on, most of the text would be tried
+    said_so = lambda g: re.escape(g) + pack.speech
+    before = r"[\p{IsAlphabetic}\p{N}][\s\S]{0,7}"
+    behind = not re.search(r"[*+{(]", pack.speech)  # has an end that can be looked back from
+    led = lambda g: F.col("content").rlike(f"{said_so(g)}(?<={before}{said_so(g)})" if behind else before + said_so(g))
     found = F.filter(F.array(*[F.when(led(g), F.lit(g)) for g in pack.guides]), lambda x: x.isNotNull())
     hits = chunks.select("project_id", "path", "chunk_index", "chunk_id", "title", F.explode(found).alias("guide")).withColumn("pattern", F.concat(F.lit("某某"), "guide"))
     made = hits.select("project_id", "pattern", evidence(F.col("pattern")).alias("evidence")).groupBy("project_id", "pattern").agg(F.count("*").alias("n"), gathered(5).alias("evidence")).where(F.col("n") >= least)
