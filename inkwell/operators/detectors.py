@@ -505,12 +505,6 @@ def similar_paragraphs(chunks: DataFrame, pack: Pack) -> DataFrame:
     rows = paragraphs(chunks, pack).select("project_id", "path", "chunk_index", "chunk_id", "title", "sentence_no", F.substring("s", 1, 120).alias("s"))
     hits = similar_groups(chunks, pack).join(rows, ["project_id", "path", "chunk_index", "sentence_no"])
     made = hits.select("project_id", "component", "group_no", evidence(F.col("s")).alias("evidence")).groupBy("project_id", "component", "group_no").agg(gathered().alias("evidence"))  # five at most
-#: Counters by which tokens are sorted; in one broadcast, so a fixed number.
-SLOTS = 1 << 21
-#: Tokens that are looked at in one pass, about; and passes at most.
-TOKENS, PASSES = 4_000_000, 4
-#: Ids that are broadcast at most; more are joined by a shuffle.
-LISTED = 1 << 20
     first = F.concat_ws("|", F.col("evidence")[0]["chunk_id"], F.md5(F.col("evidence")[0]["snippet"]))
     return made.select("project_id", *issue("paragraph", description=(F.size("evidence"),), subject=first), "evidence")
 
@@ -520,7 +514,8 @@ REPEATED = {"high_freq_expression": high_freq_phrases, "repeated_action": repeat
 
 
 def run_detectors(chunks: DataFrame, pack: Pack, detectors: dict | None = None, prefix: str = "repeated_") -> DataFrame:
-    out = None
-    for made in (d(chunks, pack) for d in (detectors or REPEATED).values()):
+    """The issues of all detectors. The chunks are stored once, and so is what each detector finds, so that its shuffles go before the next one's."""
+    chunks, out = stored(chunks), None
+    for made in (stored(d(chunks, pack)) for d in (detectors or REPEATED).values()):
         out = made if out is None else out.unionByName(made)
     return out.withColumn("issue_type", F.concat(F.lit(prefix), "issue_type"))
