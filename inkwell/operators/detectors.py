@@ -246,6 +246,12 @@ def paragraphs(chunks: DataFrame, pack: Pack, least_bytes: int = 20) -> DataFram
 
 #: Prefix rows of a token, in one part of them; those of more common tokens meet as pairs of such parts.
 BLOCK = 2000
+#: Counters by which tokens are sorted; in one broadcast, so a fixed number.
+SLOTS = 1 << 21
+#: Tokens that are looked at in one pass, about; and passes at most.
+TOKENS, PASSES = 4_000_000, 4
+#: Ids that are broadcast at most; more are joined by a shuffle.
+LISTED = 1 << 20
 
 
 def paragraph_sets(chunks: DataFrame, pack: Pack) -> DataFrame:
